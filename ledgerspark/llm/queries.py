@@ -6,11 +6,20 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import documents
 
 #: Folder of the public vocabulary files; a parameter, never copied.
 TOKENIZERS_DIR = "/opt/tokenizers"
+#: Verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -27,5 +36,95 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_query(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
-ORACLES: dict[str, str] = {}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.url_filter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.quality import quality_report
+
+    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.nearest import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.licences import scan_licences
+
+    return scan_licences(documents(spark, sf_dir))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.language import language_report
+
+    return language_report(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 2)
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_source_mix": op3_source_mix,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
+    "op6_nearest": op6_nearest,
+    "op7_licences": op7_licences,
+    "op8_language": op8_language,
+    "op10_packing": op10_packing,
+}
+
+VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+OP6 = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {VALID}),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5"""
+
+OP3 = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5('mix-0-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM sizes),
+weighed AS (SELECT *, CASE (nr - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM ranked),
+sums AS (
+  SELECT *, 3 * sum(source_size) OVER () AS goal, sum(weight) OVER () AS all_weight,
+         coalesce(sum(source_size) OVER before, 0) AS sizes_before, coalesce(sum(weight) OVER before, 0) AS weights_before
+  FROM weighed WINDOW before AS (ORDER BY source_size / weight, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+filled AS (SELECT *, 4 * source_size * (all_weight - weights_before) <= weight * (goal - 4 * sizes_before) AS is_full FROM sums),
+rest AS (SELECT *, sum(CASE WHEN is_full THEN source_size ELSE 0 END) OVER () AS fs, sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER () AS fw FROM filled),
+targets AS (
+  SELECT source, source_size, nr, CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE)
+         ELSE CAST(weight * (goal - 4 * fs) AS DOUBLE) / CAST(2 * (all_weight - fw) AS DOUBLE) END AS target FROM rest),
+lines AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(sum(CAST(round(target) AS BIGINT)) OVER (ORDER BY nr) AS BIGINT) AS upto FROM targets),
+total AS (SELECT CAST(coalesce(sum(words), 0) AS BIGINT) AS n FROM lines),
+points AS (SELECT (k % 2147483648 * 1327217885) % 2147483648 AS point FROM total, unnest(generate_series(CAST(0 AS BIGINT), (n + 1023) // 1024 - 1)) AS s(k)),
+stretches AS (SELECT nr, CAST((CAST(upto - words AS HUGEINT) * 2147483648) // n AS BIGINT) AS low, CAST((CAST(upto AS HUGEINT) * 2147483648) // n AS BIGINT) AS high FROM lines, total WHERE n > 0),
+slots AS (SELECT nr, count(*) AS n_slots FROM points JOIN stretches ON low <= point AND point < high GROUP BY nr),
+placed AS (
+  SELECT d.doc_id, d.size, d.source, l.source_size, l.target, coalesce(s.n_slots, 0) AS n_slots, (l.source_size + 1023) // 1024 AS n_blocks,
+         CAST(sum(d.size) OVER (PARTITION BY l.nr ORDER BY CAST(('0x' || substr(key, 1, 3)) AS INTEGER) % 1024, key, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+  FROM d JOIN lines l ON d.source IS NOT DISTINCT FROM l.source LEFT JOIN slots s USING (nr))
+SELECT doc_id, size, source_size, target, source,
+       CAST(greatest(0, least(start + size, least(n_slots, n_blocks) * 1024) - start)
+          + greatest(0, least(start + size, greatest(0, least(n_slots, 2 * n_blocks) - n_blocks) * 1024) - start) AS BIGINT) AS taken
+FROM placed"""
+
+ORACLES: dict[str, str] = {"op3_source_mix": OP3, "op6_nearest": OP6}
