@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 
 from ledgerspark.llm.common import worker_cache
 
-#: Chunks and letter runs kept per worker; beyond it the cache starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks and letter runs kept per worker, in each of two generations.
+CACHE_CHUNKS = 200_000
+CACHE_RUNS = 250_000
 #: Characters of text looked at together.
 BATCH_CHARS = 4_000_000
 
@@ -38,61 +39,94 @@ class Encoder:
         #: Byte-level pieces keep the space before a word, word-end pieces drop it.
         self.space = "" if self.lowers else " "
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.beside_space = re.compile(r"\s |  ")
         self.cut = re.compile(r"(?<!\s) (?!\s)")
-        #: Letters below U+0300 are stable under NFC and lower-case one by one.
-        self.word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+        #: Letters below U+0100 are stable under NFC; marks and line ends beside
+        #: them are pieces of their own.
+        letters, marks = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?|]+"
+        self.word = re.compile(f"( ?{letters})({marks})?(?:(\n)({letters})({marks})?)?").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         # The public byte-to-character rule of byte-level BPE.
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _run(self, letters: str) -> bytes:
-        """Ids of a letter run, which is one piece of the splitting pattern."""
-        if self.lowers:
-            letters = letters.lower()
-        ids = self.runs.get(letters)
+        """Ids of a letter run with the space before it: one piece of the splitting pattern."""
+        key = letters.lower() if self.lowers else letters
+        ids = self.old_runs.get(key)
         if ids is None:
-            piece = letters.encode().decode("latin-1").translate(self.byte_chars)
-            got = self.tok.model.tokenize(piece)
-            ids = self.runs[letters] = struct.pack(f"<{len(got)}I", *[t.id for t in got])
+            if key.isascii():
+                piece = self.byte_chars[32] + key[1:] if key[0] == " " else key
+            else:
+                piece = key.encode().decode("latin-1").translate(self.byte_chars)
+            ids = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+        self.runs[key] = ids
+        return ids
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._whole([marks])[0]
+            if len(self.tails) < 10_000:
+                self.tails[marks] = ids
         return ids
 
     def _learn(self, new: set[str]) -> None:
-        """Encode chunks that the cache lacks; all but a text's first carry ``space``."""
-        odd, tails = [], {}
+        """Encode chunks that the cache lacks."""
+        odd, word, run, tail, lowers = [], self.word, self._run, self._tail, self.lowers
+        known, old, chunks = self.runs.get, self.old_chunks, self.chunks
         for chunk in new:
-            m = self.word.fullmatch(chunk, 1 if chunk[:1] == " " else 0)
-            if m is None:
-                odd.append(chunk)
-            elif m[2]:
-                tails.setdefault(m[2], []).append((chunk, chunk[: m.end(1)]))
-            else:
-                self.chunks[chunk] = self._run(chunk)
-        for tail, ids in zip(tails, self._whole(list(tails)), strict=True):
-            for chunk, letters in tails[tail]:
-                self.chunks[chunk] = self._run(letters) + ids
+            ids = old.get(chunk)
+            if ids is None:
+                m = word(chunk)
+                if m is None:
+                    odd.append(chunk)
+                    continue
+                a, b, line, c, d = m.groups()
+                ids = known(a.lower() if lowers else a) or run(a)
+                if b:
+                    ids += tail(b)
+                if line:
+                    ids += tail(line) + (known(c.lower() if lowers else c) or run(c))
+                    if d:
+                        ids += tail(d)
+            chunks[chunk] = ids
         for chunk, ids in zip(odd, self._whole(odd), strict=True):
-            self.chunks[chunk] = ids
+            chunks[chunk] = ids
 
     def _cut(self, text: str | None) -> list[str]:
+        """Chunks of a text; all but the first carry ``space``."""
         if not text:
             return []
-        parts = self.cut.split(text) if self.beside_space.search(text) or text[0] == " " else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if self.space else parts
+        if self.lowers:
+            try:
+                text.encode("latin-1")
+                # Case, and which white space parts words, make no difference here.
+                return text.lower().replace("\n", " ").split(" ")
+            except UnicodeEncodeError:
+                pass
+        if self.beside_space.search(text) or text[0] == " ":
+            parts = self.cut.split(text)
+            return [parts[0], *[self.space + p for p in parts[1:]]]
+        return text.replace(" ", "\0 ").split("\0") if self.space and "\0" not in text else self._spaced(text.split(" "))
+
+    def _spaced(self, parts: list[str]) -> list[str]:
+        return [parts[0], *[self.space + p for p in parts[1:]]] if self.space else parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        new = set().union(*cut) - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks, new = {}, set().union(*cut)
-        if len(self.runs) > CACHE_CHUNKS:
-            self.runs = {}
-        self._learn(new)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.runs) > CACHE_RUNS:
+            self.old_runs, self.runs = self.runs, {}
+        self._learn(set().union(*cut) - self.chunks.keys())
         get = self.chunks.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
 
