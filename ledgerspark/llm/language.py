@@ -215,7 +215,7 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs, model, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows whose language is identified with at least that score; columns as they are."""
     small_arrow_batches(docs.sparkSession)
     predict = predictor(train(docs))

@@ -97,11 +97,11 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return inner.alias("a").join(before.alias("b"), F.expr("a.source <=> b.source AND a.chunk = b.chunk")).select("slot", "a.source", (F.col("before") + F.col("nr")).alias("rank"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: str) -> DataFrame:
     """rid, doc_id, source, size, bucket, key: narrow rows that the mix works on."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat(F.lit("mix-0-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"), *more)
     return rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % BUCKETS)
 
 
@@ -140,3 +140,19 @@ def mix_report(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     small = targets.select(F.col("source").alias("s"), "source_size", "target")
     out = rows.join(F.broadcast(small) if targets.count() <= 100_000 else small, F.expr("source <=> s")).join(taken, "rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix in whole documents; columns as they are.
+
+    A row is repeated as often as the mix takes its words, to the nearest whole
+    number: 0, 1 or 2 times. Rows without words are kept once."""
+    rows = stored(sized(docs.withColumn("_h", F.xxhash64("text")), "_h"), "mix-rows")
+    _, _, pieces = mix(rows, block)
+    taken = pieces.groupBy("rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    per_row = rows.select("rid", "doc_id", "_h", "size").join(taken, "rid", "left")
+    times = per_row.groupBy("doc_id", "_h").agg(F.sum("size").alias("size"), F.sum(F.coalesce("taken", F.lit(0))).alias("taken"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    times = times.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), copies.alias("_times")).where("_times > 0")
+    met = docs.withColumn("_h", F.xxhash64("text")).join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -36,6 +36,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_query(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.fingerprint import fingerprint_report
+
+    return fingerprint_report(documents(spark, sf_dir))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerspark.llm.mixing import mix_report
 
@@ -72,6 +78,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(documents(spark, sf_dir))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerspark.llm.shingle_join import component_report
+
+    return component_report(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerspark.llm.packing import pack
 
@@ -80,12 +92,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_fingerprints": op2_fingerprints,
     "op3_source_mix": op3_source_mix,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
     "op6_nearest": op6_nearest,
     "op7_licences": op7_licences,
     "op8_language": op8_language,
+    "op9_shingle_join": op9_shingle_join,
     "op10_packing": op10_packing,
 }
 
