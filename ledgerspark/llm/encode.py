@@ -16,8 +16,8 @@ from array import array
 from ledgerspark.llm.common import worker_cache
 
 #: Chunks and letter runs kept per worker, in each of two generations.
-CACHE_CHUNKS = 200_000
-CACHE_RUNS = 250_000
+CACHE_CHUNKS = 300_000
+CACHE_RUNS = 400_000
 #: Characters of text looked at together.
 BATCH_CHARS = 4_000_000
 
@@ -45,9 +45,11 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         self.beside_space = re.compile(r"\s |  ")
         self.cut = re.compile(r"(?<!\s) (?!\s)")
-        #: Letters below U+0100 are stable under NFC; marks and line ends beside
-        #: them are pieces of their own.
-        letters, marks = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?|]+"
+        #: Letters below U+0100 are stable under NFC (and lower case here, where
+        #: the vocabulary has no other); marks without apostrophes and line ends
+        #: beside them are pieces of their own.
+        letters = "[a-zß-öø-ÿ]+" if self.lowers else "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+        marks = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
         self.word = re.compile(f"( ?{letters})({marks})?(?:(\n)({letters})({marks})?)?").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -59,15 +61,14 @@ class Encoder:
 
     def _run(self, letters: str) -> bytes:
         """Ids of a letter run with the space before it: one piece of the splitting pattern."""
-        key = letters.lower() if self.lowers else letters
-        ids = self.old_runs.get(key)
+        ids = self.old_runs.get(letters)
         if ids is None:
-            if key.isascii():
-                piece = self.byte_chars[32] + key[1:] if key[0] == " " else key
+            if letters.isascii():
+                piece = self.byte_chars[32] + letters[1:] if letters[0] == " " else letters
             else:
-                piece = key.encode().decode("latin-1").translate(self.byte_chars)
+                piece = letters.encode().decode("latin-1").translate(self.byte_chars)
             ids = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
-        self.runs[key] = ids
+        self.runs[letters] = ids
         return ids
 
     def _tail(self, marks: str) -> bytes:
@@ -80,7 +81,7 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encode chunks that the cache lacks."""
-        odd, word, run, tail, lowers = [], self.word, self._run, self._tail, self.lowers
+        odd, word, run, tail = [], self.word, self._run, self._tail
         known, old, chunks = self.runs.get, self.old_chunks, self.chunks
         for chunk in new:
             ids = old.get(chunk)
@@ -90,11 +91,11 @@ class Encoder:
                     odd.append(chunk)
                     continue
                 a, b, line, c, d = m.groups()
-                ids = known(a.lower() if lowers else a) or run(a)
+                ids = known(a) or run(a)
                 if b:
                     ids += tail(b)
                 if line:
-                    ids += tail(line) + (known(c.lower() if lowers else c) or run(c))
+                    ids += tail(line) + (known(c) or run(c))
                     if d:
                         ids += tail(d)
             chunks[chunk] = ids
