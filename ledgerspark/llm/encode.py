@@ -4,7 +4,7 @@ Both byte-level and word-end BPE split texts before merging, and never across a
 space that follows a non-space character. So a text is cut there into chunks,
 each distinct chunk is encoded once per worker, and a text's ids are the joined
 ids of its chunks. Ids are little-endian unsigned 32-bit integers throughout, so
-joining, CRCs and Arrow buffers need no per-id work.
+joining, CRCs and Arrow buffers need no per-id work in Python.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BATCH_CHARS = 4_000_000
 
 
 class Encoder:
-    """``encode(texts)`` gives for each text its ids as bytes.
+    """``encode(texts)`` gives each text's ids as an array of uint32.
 
     Equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the whole
     text, with the strings of special tokens taken as ordinary text. None and
@@ -43,14 +43,16 @@ class Encoder:
         self.runs: dict[str, bytes] = {}
         self.old_runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.beside_space = re.compile(r"\s |  ")
-        self.cut = re.compile(r"(?<!\s) (?!\s)")
+        self.beside_space = re.compile(r"^ |\s |  ").search
+        self.before_word = re.compile(r"(?=(?<!\s) (?!\s))").split
+        #: Where a comma or full stop may not be cut off, or a line end not after it.
+        self.marks_before = re.compile(r"(?:\W|_|^)[.,]\s|\.\n\s").search
         #: Letters below U+0100 are stable under NFC (and lower case here, where
         #: the vocabulary has no other); marks without apostrophes and line ends
         #: beside them are pieces of their own.
         letters = "[a-zß-öø-ÿ]+" if self.lowers else "[A-Za-zÀ-ÖØ-öø-ÿ]+"
         marks = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
-        self.word = re.compile(f"( ?{letters})({marks})?(?:(\n)({letters})({marks})?)?").fullmatch
+        self.word = re.compile(f"({self.space and ' ?'}{letters})({marks})?(?:(\n)({letters})({marks})?)?").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         # The public byte-to-character rule of byte-level BPE.
@@ -60,7 +62,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _run(self, letters: str) -> bytes:
-        """Ids of a letter run with the space before it: one piece of the splitting pattern."""
+        """Ids of a letter run with the space before it, if any: one piece of the splitting pattern."""
         ids = self.old_runs.get(letters)
         if ids is None:
             if letters.isascii():
@@ -72,6 +74,7 @@ class Encoder:
         return ids
 
     def _tail(self, marks: str) -> bytes:
+        """Ids of marks."""
         ids = self.tails.get(marks)
         if ids is None:
             ids = self._whole([marks])[0]
@@ -79,16 +82,24 @@ class Encoder:
                 self.tails[marks] = ids
         return ids
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode chunks that the cache lacks."""
-        odd, word, run, tail = [], self.word, self._run, self._tail
-        known, old, chunks = self.runs.get, self.old_chunks, self.chunks
-        for chunk in new:
-            ids = old.get(chunk)
+    def _known(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.runs) > CACHE_RUNS:
+            self.old_runs, self.runs = self.runs, {}
+        chunks, old = self.chunks, self.old_chunks
+        word, run, tail, known = self.word, self._run, self._tail, self.runs.get
+        out, odd = list(map(chunks.get, names)), []
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            name = names[i]
+            ids = old.get(name)
             if ids is None:
-                m = word(chunk)
+                m = word(name)
                 if m is None:
-                    odd.append(chunk)
+                    odd.append(i)
                     continue
                 a, b, line, c, d = m.groups()
                 ids = known(a) or run(a)
@@ -98,38 +109,64 @@ class Encoder:
                     ids += tail(line) + (known(c) or run(c))
                     if d:
                         ids += tail(d)
-            chunks[chunk] = ids
-        for chunk, ids in zip(odd, self._whole(odd), strict=True):
-            chunks[chunk] = ids
-
-    def _cut(self, text: str | None) -> list[str]:
-        """Chunks of a text; all but the first carry ``space``."""
-        if not text:
-            return []
-        if self.lowers:
-            try:
-                text.encode("latin-1")
-                # Case, and which white space parts words, make no difference here.
-                return text.lower().replace("\n", " ").split(" ")
-            except UnicodeEncodeError:
-                pass
-        if self.beside_space.search(text) or text[0] == " ":
-            parts = self.cut.split(text)
-            return [parts[0], *[self.space + p for p in parts[1:]]]
-        return text.replace(" ", "\0 ").split("\0") if self.space and "\0" not in text else self._spaced(text.split(" "))
-
-    def _spaced(self, parts: list[str]) -> list[str]:
-        return [parts[0], *[self.space + p for p in parts[1:]]] if self.space else parts
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.runs) > CACHE_RUNS:
-            self.old_runs, self.runs = self.runs, {}
-        self._learn(set().union(*cut) - self.chunks.keys())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+            out[i] = chunks[name] = ids
+        for i, ids in zip(odd, self._whole([names[i] for i in odd]), strict=True):
+            out[i] = chunks[names[i]] = ids
+        return out
+
+    def _pieced(self, pieces) -> list:
+        """Ids of texts given as a list array of their chunks."""
+        import numpy as np
+
+        offsets = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        table = self._known(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, begin = np.frombuffer(b"".join(table), "<u4"), np.cumsum(size) - size
+        n = size[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return np.split(ids, ends[offsets[1:-1] - 1])
+
+    def encode(self, texts: list[str | None]) -> list:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = [np.zeros(0, "<u4")] * len(texts)
+        plain, cut = [], []
+        for i, text in enumerate(texts):
+            if text:
+                (cut if self.space and (self.beside_space(text) or "\0" in text) else plain).append(i)
+        if plain:
+            some = [self._marked(texts[i]) for i in plain]
+            for i, ids in zip(plain, self._pieced(pc.split_pattern(pa.array(some, pa.large_string()), "\0" if self.space else " ")), strict=True):
+                out[i] = ids
+        if cut:
+            for i, ids in zip(cut, self._pieced(pa.array([self.before_word(texts[i]) for i in cut], pa.list_(pa.large_string()))), strict=True):
+                out[i] = ids
+        return out
+
+    def _marked(self, text: str) -> str:
+        """The text with its cuts marked: by NUL, or by spaces for word-end pieces.
+
+        A comma or full stop that ends a word is a piece of its own, unless something
+        else than a letter or digit stands before it. For word-end pieces case, and which white space
+        parts words, make no difference."""
+        alone = not self.marks_before(text)
+        if self.space:
+            text = text.replace(" ", "\0 ")
+            if alone:
+                text = text.replace(",\0 ", "\0,\0 ").replace(".\0 ", "\0.\0 ").replace(".\n", "\0.\0\n\0")
+            return text
+        if alone:
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower().replace("\n", " ")
 
 
 def encoder(path: str) -> Encoder:

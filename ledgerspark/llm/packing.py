@@ -87,8 +87,8 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SI
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in portions(texts):
                 out = []
-                for doc, raw in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    raw += end
+                for doc, own in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+                    raw = own.tobytes() + end
                     start = 0
                     for i, n in enumerate(cut_lengths(len(raw) // 4, size)):
                         out.append((doc, i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])))

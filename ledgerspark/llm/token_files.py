@@ -46,7 +46,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
     all written, ordered by the hash of their texts. Columns other than
     ``doc_id`` and ``text`` are not carried. An empty table gives empty files."""
     small_arrow_batches(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
 
     def encode(batches):
         import numpy as np
@@ -58,10 +57,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in portions(texts):
-                got = [x + end for x in enc.encode(texts[a:b])]
-                n = np.fromiter((len(x) // 4 for x in got), np.int64, b - a)
+                got = enc.encode(texts[a:b])
+                n = np.fromiter(map(len, got), np.int64, b - a) + 1
                 ends = np.concatenate([[0], np.cumsum(n)])
-                flat = pa.array(np.frombuffer(b"".join(got), "<u4").view(np.int32))
+                last = np.array([end_id], "<u4")
+                flat = pa.array(np.concatenate([x for ids in got for x in (ids, last)]).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a).cast(pa.int64()),
