@@ -16,10 +16,10 @@ all, so common passages cost nothing to sets that are otherwise their own. Sets
 whose segments are not worth h + 1 also share one key and so meet each other.
 
 Equal sets form a class, looked up once. Within a class of near copies not all
-pairs are verified: components suffice, so each set is verified first against the
-set with the smallest hash in the key that most of its keys agree on, then against
-the other such sets, then against every remaining member of its keys that is not
-in its component yet. The last step leaves out no pair that could link two
+pairs are verified: components suffice, so each set is verified first against
+the weightiest center of its keys (the member that shares most with others), then
+against the other centers, then against every remaining member of its keys that
+is not in its component yet. The last step leaves out no pair that could link two
 components, so the result is exact. Verification counts the shingles of both
 whole texts.
 
@@ -249,7 +249,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
-    """rec, n, key, unit, need, units, sharing, center: index entries that sets share.
+    """rec, n, key, unit, need, units, sharing: index entries that sets share.
 
     Entries travel as blocks, one for each batch of texts and part of the key
     space; a task sorts the entries of its parts."""
@@ -314,19 +314,19 @@ def shared_keys(docs: DataFrame) -> DataFrame:
         key, rec = cols[:2]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[begin, len(key)])
-        sharing, center = np.repeat(n, n), np.repeat(rec[begin], n)
+        sharing = np.repeat(n, n)
         keep = sharing > 1
         for a in range(0, int(keep.sum()), 100_000):
             at = np.flatnonzero(keep)[a : a + 100_000]
-            arrays = [cols[1][at], cols[2][at], key[at], cols[5][at], cols[3][at], cols[4][at], sharing[at].astype(np.int32), center[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rec", "n", "key", "unit", "need", "units", "sharing", "center"])
+            arrays = [cols[1][at], cols[2][at], key[at], cols[5][at], cols[3][at], cols[4][at], sharing[at].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rec", "n", "key", "unit", "need", "units", "sharing"])
 
     blocks = docs.select("text").mapInArrow(emit, "part int, key binary, rec binary, n binary, need binary, units binary, unit binary")
-    return blocks.repartition(partitions(spark), "part").mapInArrow(meet, "rec long, n int, key long, unit short, need int, units int, sharing int, center long")
+    return blocks.repartition(partitions(spark), "part").mapInArrow(meet, "rec long, n int, key long, unit short, need int, units int, sharing int")
 
 
 def allocate(shared: DataFrame) -> DataFrame:
-    """rec, n, key, center: the shared keys that each set must look through.
+    """rec, n, key: the shared keys that each set must look through.
 
     Units are ordered by cost; those that nothing shares are not in ``shared`` and
     cost nothing. A segment's deletions cost no less than the segment, so they
@@ -337,7 +337,7 @@ def allocate(shared: DataFrame) -> DataFrame:
     by = Window.partitionBy("rec", "scheme")
     ranked = units.withColumns({"nr": F.row_number().over(by.orderBy("cost", "unit", "u")), "listed": F.count("*").over(by)})
     picked = ranked.where("nr <= need - (units - listed)").select("rec", "scheme", "u")
-    return each.join(picked, ["rec", "scheme", "u"]).select("rec", "n", "key", "center")
+    return each.join(picked, ["rec", "scheme", "u"]).select("rec", "n", "key")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -399,9 +399,14 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = new.join(found, ["a", "b"], "left_anti")
         return stored(found.unionByName(verified(new, texts)), name)
 
-    # First the center that most of a set's keys agree on.
-    votes = chosen.where("rec <> center").groupBy("rec", "center").agg(F.count("*").alias("votes"))
-    best = votes.withColumn("nr", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("votes"), "center"))).where("nr = 1")
+    # A key's center is the member that shares most with others: of a text and its
+    # edited copies the text itself, to which all are nearer than to each other.
+    weight = shared.groupBy("rec").agg(F.sum(F.col("sharing").cast("long")).alias("w"))
+    centers = members.join(weight, "rec").groupBy("key").agg(F.max(F.struct("w", "rec")).alias("c")).select("key", F.col("c.rec").alias("center"), F.col("c.w").alias("w"))
+    chosen = stored(chosen.join(centers, "key"), "centered-keys")
+    # First the weightiest center of a set's keys.
+    votes = chosen.where("rec <> center").groupBy("rec", "center").agg(F.count("*").alias("votes"), F.max("w").alias("w"))
+    best = votes.withColumn("nr", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("w"), F.desc("votes"), "center"))).where("nr = 1")
     found = stored(verified(_pairs(best.select("rec", "center")), texts), "pairs-1")
 
     def labelled(found: DataFrame):
