@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import partitions
 
 SAMPLES = 64
+#: Samples made in one pass over a term; more make plans too large for the driver.
+TOGETHER = 16
 SPACE = r"[\x20\x09-\x0D]+"
 #: Cells of the quantile tables; within a cell quantiles are interpolated.
 R_CELLS, C_CELLS = 64, 128
@@ -56,8 +58,9 @@ def tables() -> tuple[list[float], list[float]]:
 
 
 def fingerprints(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, fingerprint from keys, th (term hash long), lw (ln of its weight double).
+    """keys, part, values from keys, th (term hash long), lw (ln of its weight double).
 
+    A part holds ``TOGETHER`` samples; the parts in order are the fingerprint.
     Bits of the hash of (term, sample): 6 + 10 for r and 7 + 13 for ln c (cell and
     place in it), 28 for b. Per sample the least long is kept: ln a in its upper
     bits, the value in its lower ones, so one min() finds the sampled term."""
@@ -65,8 +68,9 @@ def fingerprints(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
 
     rt, ct = (F.lit(np.array(x)) for x in tables())
     aggs = []
-    for i in range(samples):
-        h = F.xxhash64("th", F.lit(i))
+    terms = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("part"))
+    for i in range(TOGETHER):
+        h = F.xxhash64("th", F.col("part"), F.lit(i))
         part = lambda shift, bits, h=h: F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1)
         unit = lambda shift, bits, p=part: (p(shift, bits) + 0.5) / float(1 << bits)
         between = lambda table, cell, place: F.get(table, cell) + (F.get(table, cell + 1) - F.get(table, cell)) * place
@@ -84,9 +88,9 @@ def fingerprints(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
         order = F.floor((lna + 1000.0) * float(1 << 20)).cast("long")
         value = (F.shiftrightunsigned(h, 32) + t).bitwiseAND((1 << 32) - 1)
         aggs.append(F.min(F.shiftleft(order, 32).bitwiseOR(value)).alias(f"s{i}"))
-    least = terms.groupBy(*keys).agg(*aggs)
-    text = [F.lpad(F.lower(F.hex(F.xxhash64(F.col(f"s{i}").bitwiseAND((1 << 32) - 1)).bitwiseAND(0xFFFF))), 4, "0") for i in range(samples)]
-    return least.select(*keys, F.concat(*text).alias("fingerprint"))
+    least = terms.groupBy(*keys, "part").agg(*aggs)
+    text = [F.lpad(F.lower(F.hex(F.xxhash64(F.col(f"s{i}").bitwiseAND((1 << 32) - 1)).bitwiseAND(0xFFFF))), 4, "0") for i in range(TOGETHER)]
+    return least.select(*keys, "part", F.concat(*text).alias("values"))
 
 
 def likeness(a, b, samples: int = SAMPLES):
@@ -109,6 +113,8 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text, b, copy: rows dealt by ranges of descending ids.
 
     copy is 1 for first rows of the next range, which stand after range b's own."""
+    import numpy as np
+
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -129,9 +135,9 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
         at += k
     if not heads:
         heads = [(0, None)]
-    top = F.get(F.lit([t if t is not None else -1 for _, t in heads]), F.col("b"))
-    nulls = F.get(F.lit([t is None for _, t in heads]), F.col("b"))
-    placed = rows.withColumn("b", F.get(F.lit(number), cell).cast("int"))
+    top = F.get(F.lit(np.array([t if t is not None else -1 for _, t in heads], np.int64)), F.col("b"))
+    nulls = (F.col("b") == len(heads) - 1) if heads[-1][1] is None else F.lit(False)
+    placed = rows.withColumn("b", F.coalesce(F.get(F.lit(np.array(number, np.int32)), cell), F.lit(0)))
     first = (nulls & F.col("doc_id").isNull()) | (~nulls & (F.col("doc_id") == top))
     before = (F.col("b") + len(heads) - 1) % len(heads)
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))
@@ -150,8 +156,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))
     texts = rows.select("b", "nr", F.explode(F.when(F.col("copy") == 0, both).otherwise(F.slice(both, 1, 1))).alias("x")).select("b", "nr", F.col("x.v").alias("v"), F.col("x.t").alias("t"))
     made = fingerprints(term_rows(texts, ["b", "nr", "v"], "t"), ["b", "nr", "v"])
-    of = lambda v: F.max(F.when(F.col("v") == v, F.col("fingerprint")))
-    made = made.groupBy("b", "nr").agg(of(0).alias("f"), of(1).alias("e"))
+    parts = range(SAMPLES // TOGETHER)
+    cell = lambda v, p: F.max(F.when((F.col("v") == v) & (F.col("part") == p), F.col("values")))
+    made = made.groupBy("b", "nr").agg(*[cell(v, p).alias(f"p{v}_{p}") for v in (0, 1) for p in parts])
+    made = made.select("b", "nr", *[F.concat(*[F.col(f"p{v}_{p}") for p in parts]).alias(n) for v, n in ((0, "f"), (1, "e"))])
     facts = rows.select("b", "nr", "copy", "doc_id", n.cast("long").alias("n_chars"), F.when(F.col("copy") == 0, F.sha2(edited, 256)).alias("edited_sha256"))
     none = F.lit("0000" * SAMPLES)
     whole = facts.join(made, ["b", "nr"], "left").withColumns({"f": F.coalesce("f", none), "e": F.coalesce("e", none)})
