@@ -6,7 +6,7 @@ weight is the ratio of its likelihoods, taken per n-gram and raised to
 ``SHARPNESS``, so that length does not decide. Adding Gumbel noise to the log
 weights and taking the k largest draws k documents without replacement in
 proportion to the weights. k is the number of documents whose ratio is not below
-the ``TAIL`` quantile of target text's own, so target-like text stays.
+a bound beyond the ``TAIL`` quantile of target text's own, so target-like text stays.
 
 The target model is fitted on at most ``SAMPLE`` labelled rows, chosen by hash;
 raw counts, scores and the selection cover all rows. The k-th largest key is
@@ -31,6 +31,9 @@ GRAMS = (2, 4)
 SAMPLE = 20_000
 SHARPNESS = 200.0
 TAIL = 0.005
+#: Share of the way from the target's median to that quantile that the bound lies
+#: beyond it: the fit flatters the rows it has seen.
+MARGIN = 0.5
 SMOOTHING = 0.5
 #: Odd multipliers of the bytes of an n-gram.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
@@ -181,7 +184,8 @@ def classify(docs: DataFrame, labels: DataFrame):
     if not fitted:
         return scores, None, None
     own = scores.join(F.broadcast(fitted[1]), F.col("doc_id") == F.col("target_id"), "left_semi").where("n_grams > 0")
-    floor = own.agg(F.percentile_approx("log_weight", TAIL, 100_000)).first()[0]
+    low, middle = own.agg(F.percentile_approx("log_weight", TAIL, 100_000), F.percentile_approx("log_weight", 0.5, 100_000)).first()
+    floor = None if low is None else low - MARGIN * (middle - low)
     k = scores.where((F.col("log_weight") >= floor) | (F.col("n_grams") == 0)).count() if floor is not None else scores.count()
     return scores, kth_largest(scores.select("key"), k) if k else None, score
 
