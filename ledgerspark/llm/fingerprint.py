@@ -143,7 +143,10 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))
     sent = F.struct(before.alias("b"), F.lit(1).alias("copy"))
     placed = placed.withColumn("to", F.explode(F.when(F.coalesce(first, F.lit(False)), F.array(own, sent)).otherwise(F.array(own))))
-    return placed.select("doc_id", "text", F.col("to.b").alias("b"), F.col("to.copy").alias("copy")).repartition(tasks, "b")
+    # Columns that can't be null get no null filter below the exchange, so that both
+    # readers of these rows have the same exchange and it is made once.
+    sure = lambda c: F.coalesce(F.col(f"to.{c}"), F.lit(0)).alias(c)
+    return placed.select("doc_id", "text", sure("b"), sure("copy")).repartition(tasks, "b")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
