@@ -5,7 +5,9 @@ end; the line of words is cut into blocks of equal length. Slots of one block
 each are dealt to sources by golden-ratio points mapped through the cumulative
 targets, so every stretch of the schedule holds the sources in proportion. The
 n-th slot of a source takes its n-th block; after the last block a second pass
-begins at the first. No source is taken more than twice.
+begins at the first. No source is taken more than twice. A slot counts as a whole
+block, so sources of few blocks can miss their targets (op3's SQL fixes the
+block); ``mixed_documents`` has no such grain.
 
 A hot source costs no more than its rows: positions within a source are found
 from sums of (source, hash bucket), ranks of slots from counts of (source, slot
@@ -105,21 +107,38 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
     return rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % BUCKETS)
 
 
-def mix(rows: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, placed, pieces) of rows as ``sized`` gives them, already written.
-
-    placed: rows with start (their place on the source's line); pieces: slot, rid,
-    doc_id, word_from, word_to (words of the document the slot takes), in the
-    order of slots the training stream."""
-    spark = rows.sparkSession
+def laid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, placed) of rows as ``sized`` gives them, already written; placed: rows with start."""
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     rows.createOrReplaceTempView("mix_rows")
-    placed = spark.sql("""
+    placed = rows.sparkSession.sql("""
         WITH sums AS (SELECT source, bucket, sum(size) AS n FROM mix_rows GROUP BY source, bucket),
              offsets AS (SELECT source, bucket, sum(n) OVER (PARTITION BY source ORDER BY bucket) - n AS ahead FROM sums),
              inner_ AS (SELECT *, sum(size) OVER (PARTITION BY source, bucket ORDER BY key, rid ROWS UNBOUNDED PRECEDING) - size AS within FROM mix_rows)
         SELECT i.rid, i.doc_id, i.source, i.size, i.within + o.ahead AS start
         FROM inner_ i JOIN offsets o ON i.source <=> o.source AND i.bucket = o.bucket""")
+    return targets, placed
+
+
+def word_takes(rows: DataFrame) -> DataFrame:
+    """rid, taken: the first ``words`` words of each source's line, the second pass included.
+
+    The limit of ``mix`` for blocks of one word: every source takes exactly its
+    target, however small it is."""
+    targets, placed = laid(rows)
+    small = targets.select(F.col("source").alias("s"), "source_size", "words")
+    met = placed.join(F.broadcast(small) if targets.count() <= 100_000 else small, F.expr("source <=> s"))
+    taken = "greatest(0, least(start + size, words, source_size) - start) + greatest(0, least(start + size, words - source_size) - start)"
+    return met.selectExpr("rid", f"{taken} AS taken")
+
+
+def mix(rows: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, placed, pieces) of rows as ``sized`` gives them, already written.
+
+    placed: rows with start (their place on the source's line); pieces: slot, rid,
+    doc_id, word_from, word_to (words of the document the slot takes), in the
+    order of slots the training stream."""
+    targets, placed = laid(rows)
     small = targets.select(F.col("source").alias("s"), "source_size", "target")
     slots = schedule(targets, block).join(F.broadcast(small) if targets.count() <= 100_000 else small, F.expr("source <=> s"))
     # The source's n-th slot takes block n mod (number of blocks), at most PASSES times.
@@ -142,14 +161,18 @@ def mix_report(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int | None = None) -> DataFrame:
     """The mix in whole documents; columns as they are.
 
     A row is repeated as often as the mix takes its words, to the nearest whole
-    number: 0, 1 or 2 times. Rows without words are kept once."""
+    number: 0, 1 or 2 times. Rows without words are kept once. Words are counted
+    one by one (a source misses its target by half a document at most), or in
+    blocks of the schedule if ``block`` is given."""
     rows = stored(sized(docs.withColumn("_h", F.xxhash64("text")), "_h"), "mix-rows")
-    _, _, pieces = mix(rows, block)
-    taken = pieces.groupBy("rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    if block is None:
+        taken = word_takes(rows)
+    else:
+        taken = mix(rows, block)[2].groupBy("rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     per_row = rows.select("rid", "doc_id", "_h", "size").join(taken, "rid", "left")
     times = per_row.groupBy("doc_id", "_h").agg(F.sum("size").alias("size"), F.sum(F.coalesce("taken", F.lit(0))).alias("taken"))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")

@@ -132,6 +132,21 @@ def test_mix(spark, docs, rows, none):
     assert out.columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_small_sources(spark):
+    rng = random.Random(8)
+    tail = [(i, prose(rng, 30), f"t{i // 10}") for i in range(4000)]  # 400 sources of 300 words
+    few = [(10_000 + i, prose(rng, 100), f"u{i // 25}") for i in range(100)]  # 4 sources of 2,500 words
+    hot = [(20_000 + i, prose(rng, 300), "hot") for i in range(200)]
+    df = spark.createDataFrame(tail + few + hot, "doc_id long, text string, source string")
+    size = F.size(F.split("text", " "))
+    want = {r["source"]: r["target"] for r in mixing.source_targets(df.groupBy("source").agg(F.sum(size).cast("long").alias("source_size"))).collect()}
+    longest = {r["source"]: r["n"] for r in df.groupBy("source").agg(F.max(size).alias("n")).collect()}
+    got = {r["source"]: r["n"] for r in mixing.mixed_documents(df).groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert len(want) == 405
+    for source, target in want.items():
+        assert abs(got.get(source, 0) - target) <= longest[source] / 2 + 1
+
+
 def test_mix_sql(spark, tmp_path):
     import duckdb
 
