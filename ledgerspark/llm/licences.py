@@ -8,10 +8,11 @@ over all documents give their IDF. Then
 * a phrase is looked up by its highest-IDF word; each hit of that word is one
   posting, and the words around it verify the whole phrase;
 * a template's postings are met by every hit; hits whose (position - template
-  position) agree vote for one alignment. An alignment is a candidate if one of
-  the file's highest-IDF licence words votes for it, and is accepted if all words
-  of the template's mandatory key phrase stand in their places and at least
-  ``least`` of its indexed words do.
+  position) agree vote for one alignment. A file is a candidate for a template if
+  it has the highest-IDF word of the template's mandatory key phrase; without it
+  no alignment could be accepted. An alignment is accepted if all words of the
+  key phrase stand in their places and at least ``least`` of the template's
+  indexed words do.
 
 Defined cases: null and empty texts have no words, no places, empty labels and
 score 0; repeated rows get a result each; very long texts cost in proportion to
@@ -31,8 +32,6 @@ from ledgerspark.llm.common import lower_ascii, stored
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words around a hit that are kept on each side; no phrase may be longer.
 AROUND = 8
-#: Highest-IDF licence words of a file that may propose alignments.
-RAREST = 8
 
 #: Phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -110,20 +109,19 @@ def scan_licences(docs: DataFrame, phrases=None, least: float = 0.8) -> DataFram
     found = ", ".join(f"IF(size(p{i}) > 0, array('{labels[i]}'), CAST(array() AS array<string>))" for i in range(len(checks)))
     base = places.selectExpr("rid", f"concat({names}) AS places", f"array_sort(array_distinct(concat({found}))) AS base").where("size(places) > 0")
 
-    # Templates: votes of hits for alignments; rare words propose, all words support.
+    # Templates: votes of hits for alignments, in files that have the rarest word of the key phrase.
     index = _index()
+    leads = [max((w for i, w in places_ if i in key), key=lambda w: (idf(w), w)) for places_, key, _ in index]
     postings = [(w, t, i, i in key) for t, (places_, key, _) in enumerate(index) for i, w in places_]
-    table = ", ".join(f"('{w}', {t}, {i}, {str(k).lower()}, {idf(w)!r}D)" for w, t, i, k in postings)
+    table = ", ".join(f"('{w}', {t}, {i}, {str(k).lower()}, '{leads[t]}')" for w, t, i, k in postings)
     spark = docs.sparkSession
-    posts = spark.sql(f"SELECT * FROM VALUES {table} AS p(w, t, p, is_key, idf)")
-    ranked = ", ".join(f"'{w}'" for w in sorted(df, key=lambda w: (-idf(w), w))) or "''"
-    rare = f"slice(array_intersect(array({ranked}), hits.w), 1, {RAREST})"
-    hits = some.selectExpr("rid", f"{rare} AS rare", "hits").selectExpr("rid", "rare", "explode(hits) AS h").selectExpr("rid", "h.i AS i", "h.w AS w", "array_contains(rare, h.w) AS proposes")
-    votes = hits.join(F.broadcast(posts), "w").groupBy("rid", "t", F.expr("i - p").alias("offset"))
-    votes = votes.agg(F.count("*").alias("n"), F.count_if("is_key").alias("keys"), F.max("proposes").alias("proposed"))
+    posts = spark.sql(f"SELECT * FROM VALUES {table} AS p(w, t, p, is_key, lead)")
+    hits = some.selectExpr("rid", "array_distinct(hits.w) AS has", "explode(hits) AS h").selectExpr("rid", "has", "h.i AS i", "h.w AS w")
+    votes = hits.join(F.broadcast(posts), "w").where("array_contains(has, lead)").groupBy("rid", "t", F.expr("i - p").alias("offset"))
+    votes = votes.agg(F.count("*").alias("n"), F.count_if("is_key").alias("keys"))
     sizes = ", ".join(f"({t}, {len(pl)}, {len(key)}, '{label}')" for t, (pl, key, label) in enumerate(index))
     of = spark.sql(f"SELECT * FROM VALUES {sizes} AS s(t, n_words, n_keys, label)")
-    met = votes.join(F.broadcast(of), "t").where(f"proposed AND keys = n_keys AND n >= {least} * n_words")
+    met = votes.join(F.broadcast(of), "t").where(f"keys = n_keys AND n >= {least} * n_words")
     own = met.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max(F.col("n") / F.col("n_words")).alias("part"))
 
     none = F.expr("CAST(array() AS array<string>)")

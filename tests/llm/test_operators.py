@@ -211,6 +211,18 @@ def test_licences(spark, docs, rows, none):
     assert licences.scan_licences(none).count() == 0
 
 
+def test_licences_among_other_licence_words(spark):
+    noise = "a charge for each copy in binary forms they modify and distribute was granted hereby in the domain of the foundation"
+    notices = [t for t, *_ in licences.TEMPLATES]
+    texts = [f"{noise}. {t}" for t in notices] + [". ".join(notices)]
+    # Files that make the notices' words common, so that the noise has the higher IDF.
+    texts += ["gnu general public license version 3 all rights reserved no part of this publication may be reproduced published software"] * 40
+    got = {r["doc_id"]: r["labels"].split(",") for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (_, _, label) in enumerate(licences.TEMPLATES):
+        assert label in got[i]
+    assert got[len(notices)] == sorted({label for *_, label in licences.TEMPLATES})
+
+
 def test_language(spark, docs, rows, none):
     got = language.language_report(docs).collect()
     assert len(got) == len(rows)
