@@ -6,7 +6,9 @@ weight is the ratio of its likelihoods, taken per n-gram and raised to
 ``SHARPNESS``, so that length does not decide. Adding Gumbel noise to the log
 weights and taking the k largest draws k documents without replacement in
 proportion to the weights. k is the number of documents whose ratio is not below
-a bound beyond the ``TAIL`` quantile of target text's own, so target-like text stays.
+the ``TAIL`` quantile of target text that the model has not seen: target rows are
+dealt to ``FOLDS`` by a hash of their text, and each is weighed by the model of
+the other folds. So target-like text stays.
 
 The target model is fitted on at most ``SAMPLE`` labelled rows, chosen by hash;
 raw counts, scores and the selection cover all rows. The k-th largest key is
@@ -14,8 +16,8 @@ found exactly by narrowing a histogram, never by gathering keys.
 
 Defined cases: null, empty and very short texts have no n-grams and log weight 0;
 equal rows have equal noise and stand or fall together (ties at the k-th key are
-all kept); without labelled rows every row is kept; an empty table gives an empty
-result. Labels other than 1, or of absent ids, are not target.
+all kept); without labelled rows, or if all of them fall in one fold, every row is
+kept; an empty table gives an empty result. Labels other than 1, or of absent ids, are not target.
 """
 
 from __future__ import annotations
@@ -31,9 +33,8 @@ GRAMS = (2, 4)
 SAMPLE = 20_000
 SHARPNESS = 200.0
 TAIL = 0.005
-#: Share of the way from the target's median to that quantile that the bound lies
-#: beyond it: the fit flatters the rows it has seen.
-MARGIN = 0.5
+#: Parts of the target rows, each weighed by the model of the others: the fit flatters rows it has seen.
+FOLDS = 10
 SMOOTHING = 0.5
 #: Odd multipliers of the bytes of an n-gram.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
@@ -74,8 +75,10 @@ def portions(texts, chars: int = 1_000_000):
         yield texts[at:]
 
 
-def gram_counts(docs: DataFrame):
-    """Counts of all hashed n-grams of ``docs``, as an array of 2^BITS numbers."""
+def gram_counts(docs: DataFrame, folds: int = 1):
+    """Counts of all hashed n-grams of ``docs``, as an array of ``folds`` rows of 2^BITS numbers.
+
+    With more than one fold, ``docs`` has a column fold from 0."""
     import numpy as np
 
     small_arrow_batches(docs.sparkSession)
@@ -83,17 +86,20 @@ def gram_counts(docs: DataFrame):
     def count(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros((folds, 1 << BITS), np.int64)
         for batch in batches:
-            for part in portions(batch.column(0).to_pylist()):
-                for h in grams(part)[0]:
-                    total += np.bincount(h, minlength=1 << BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
-
-    out = np.zeros(1 << BITS)
-    for r in docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r["gram"]] = r["n"]
+            of = batch.column(1).to_numpy()
+            for f in range(folds):
+                for part in portions(batch.column(0).filter(pa.array(of == f)).to_pylist()):
+                    for h in grams(part)[0]:
+                        total[f] += np.bincount(h, minlength=1 << BITS)
+        fold, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[fold, at])], ["fold", "gram", "n"])
+
+    out = np.zeros((folds, 1 << BITS))
+    rows = docs.select("text", "fold" if folds > 1 else F.lit(0).alias("fold"))
+    for r in rows.mapInArrow(count, "fold int, gram int, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n")).collect():
+        out[r["fold"], r["gram"]] = r["n"]
     return out
 
 
@@ -150,17 +156,37 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, few: int = 10_000) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(log ratio of each hashed n-gram, target ids) or None without target rows."""
+    """(log ratio of each hashed n-gram, ratios without each fold, target rows with their fold) or None without target rows."""
     import numpy as np
 
     chosen = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("target_id")).distinct()
     chosen = stored(chosen.orderBy(F.xxhash64("target_id"), "target_id").limit(SAMPLE), "target-ids")
     target = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("target_id"), "left_semi")  # SAMPLE ids at most
-    t, raw = gram_counts(target), gram_counts(docs)
+    target = target.select("text", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"))
+    parts, raw = gram_counts(target, FOLDS), gram_counts(docs)[0]
+    t = parts.sum(axis=0)
     if not t.sum():
         return None
     share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * len(x))
-    return np.log(share(t)) - np.log(share(raw)), chosen
+    ratio = lambda x: np.log(share(x)) - np.log(share(raw))
+    return ratio(t), [ratio(t - p) if (t - p).any() else None for p in parts], target
+
+
+def held_out_tail(target: DataFrame, ratios) -> float | None:
+    """The ``TAIL`` quantile of the log weights of target rows, each by the model without its fold."""
+    scores = [None if r is None else scorer(r) for r in ratios]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            for f, score in enumerate(scores):
+                if score is not None and (of == f).any():
+                    n, mean = score(batch.column(0).filter(pa.array(of == f)).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array(SHARPNESS * mean[n > 0])], ["w"])
+
+    return target.mapInArrow(run, "w double").agg(F.percentile_approx("w", TAIL, 100_000)).first()[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame):
@@ -183,9 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame):
     scores = stored(rows.mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double"), "quality-scores")
     if not fitted:
         return scores, None, None
-    own = scores.join(F.broadcast(fitted[1]), F.col("doc_id") == F.col("target_id"), "left_semi").where("n_grams > 0")
-    low, middle = own.agg(F.percentile_approx("log_weight", TAIL, 100_000), F.percentile_approx("log_weight", 0.5, 100_000)).first()
-    floor = None if low is None else low - MARGIN * (middle - low)
+    floor = held_out_tail(fitted[2], fitted[1])
     k = scores.where((F.col("log_weight") >= floor) | (F.col("n_grams") == 0)).count() if floor is not None else scores.count()
     return scores, kth_largest(scores.select("key"), k) if k else None, score
 

@@ -253,6 +253,24 @@ def test_quality(spark, docs, rows, none):
     assert {r["doc_id"] for r in quality.keep_quality(df, marks).collect()} == {i for i, k in keep.items() if k}
 
 
+def test_quality_bad_prose(spark):
+    """Labelled bad rows just outside the range of good ones go; unseen good ones stay."""
+    rng = random.Random(9)
+    odd = ["".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(100)]
+
+    def text(n):
+        words = [rng.choice(odd) for _ in range(n)] + [rng.choice(WORDS) for _ in range(120 - n)]
+        rng.shuffle(words)
+        return " ".join(words)
+
+    # Of 120 words up to 60 are odd in good text, about 70 in bad.
+    df = spark.createDataFrame([(i, text(rng.randrange(61) if i % 5 else rng.randrange(68, 73))) for i in range(1000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 1000, 2)], "doc_id long, quality int, toxic int")
+    keep = {r["doc_id"]: r["keep"] for r in quality.quality_report(df, marks).collect()}
+    assert sum(keep[i] for i in range(1000) if i % 5) >= 790
+    assert sum(keep[i] for i in range(0, 1000, 5)) <= 20
+
+
 def test_kth_largest(spark):
     rng = random.Random(7)
     x = [rng.gauss(0, 1) for _ in range(5000)] + [1.5] * 3000
