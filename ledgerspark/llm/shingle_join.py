@@ -444,10 +444,23 @@ def component_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; columns as they are.
+    """One row of each component of the rows of ``docs``; columns as they are.
 
-    Rows without id stay; rows that repeat an id stand for one document and stay
-    or go together."""
-    gone = component_report(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "near-duplicates")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    It is the row of the smallest id (rows without id last), then of the smallest
+    text hash, then of the smallest hash of all columns. Rows without words are
+    each a component of their own and stay."""
+    sets, links = near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("o")
+    of = components(links).withColumnRenamed("node", "rec").join(sets.where("n > 0").groupBy("rec").agg(first), "rec", "right")
+    of = of.withColumn("component", F.coalesce("component", "rec"))
+    named = of.join(of.groupBy("component").agg(F.min("o").alias("kept")), "component").select("rec", F.col("kept.doc_id").alias("d"), F.col("kept.h").alias("k"))
+    rows = sets.where("n > 0").join(named, "rec").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).agg(F.count("*").alias("times"), F.max(F.expr("doc_id <=> d AND h <=> k")).alias("kept"))
+    marked = stored(rows.where("times > 1 OR NOT kept").select("_d", "_k", "kept"), "near-duplicates")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))
+    met = docs.withColumn("_h", F.xxhash64("text"))
+    out = met.join(marked, same, "left_anti").select(*docs.columns)
+    again = marked.where("kept")
+    if again.isEmpty():
+        return out
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")
+    return out.unionByName(met.join(again, same).groupBy("_d", "_k").agg(row).select("r.*"))

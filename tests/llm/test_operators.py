@@ -321,6 +321,15 @@ def test_shingle_join(spark, docs, rows, none):
     assert shingle_join.component_report(docs).count() == len(rows) and shingle_join.component_report(none).count() == 0
 
 
+def test_keep_one_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    # A repeated id with a text of its own, exact repeats, copies without id, rows without words.
+    made = [(1, a, "x"), (5, b, "x"), (5, a, "x"), (7, c, "x"), (7, c, "x"), (7, c, "y"), (None, d, "x"), (None, d, "x"), (None, a + " end", "x"), (8, "", "x"), (None, None, "x")]
+    kept = shingle_join.keep_one(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter([(1, a), (5, b), (7, c), (None, d), (8, ""), (None, None)])
+
+
 def test_index_keys_meet():
     """Any two linked sets share a key that one of them must look through, whatever costs are."""
     rng = np.random.default_rng(9)
