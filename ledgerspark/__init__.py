@@ -1,7 +1,12 @@
-"""Ledger analytics on Spark: block files in, DataFrames out.
+"""Ledger analytics on Spark.
 
-Sub-packages: ``sources`` (block-file reader, sinks), ``functions`` (hashes,
-address encodings, script classification), ``operators`` (chain resolution,
-UTXO joins, clustering, Merkle folds), ``plans`` (the analyses), ``streaming``
-(incremental ingest).
-"""
+The package's functions travel to Python workers by value, so workers need not
+have it installed."""
+
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

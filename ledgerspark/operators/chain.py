@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.codec import ZERO_HASH
-from ledgerspark.operators.cluster import _written
+from ledgerspark.shared import stored
 
 MAX_HEADERS = 5_000_000
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return stored(df, "chain")
+
+
 class _Walk:
     def __init__(self):
         self.walked, self.goal, self.tip, self.waiting = [], ZERO_HASH, None, {}
@@ -91,22 +95,22 @@ def heights(headers: DataFrame, rounds: int = 40) -> DataFrame:
     Ties between chains go to the tip with the smaller hash."""
     links = headers.select(F.col("block_hash").alias("b"), F.col("prev_hash").alias("p")).dropDuplicates(["b"])
     # depth: steps taken towards the root so far; p: the block reached.
-    now = _written(links.withColumn("d", F.lit(1).cast("long")))
+    now = _kept(links.withColumn("d", F.lit(1).cast("long")))
     for _ in range(rounds):
         up = now.select(F.col("b").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"))
-        now = _written(now.join(up, "p", "left").select("b", F.coalesce("p2", "p").alias("p"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
+        now = _kept(now.join(up, "p", "left").select("b", F.coalesce("p2", "p").alias("p"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
         if not now.join(now.select(F.col("b").alias("p")), "p", "left_semi").limit(1).count():
             break
     rooted = now.where(F.col("p") == F.lit(ZERO_HASH)).select("b", (F.col("d") - 1).alias("height"))
     best = rooted.orderBy(F.desc("height"), "b").limit(1).select("b")
     # Ancestors of the best tip, by the same doubling backwards.
     chain = best
-    known = _written(links)
+    known = _kept(links)
     for _ in range(rounds):
         more = chain.join(known, "b").select(F.col("p").alias("b"))
-        bigger = _written(chain.union(more).distinct())
+        bigger = _kept(chain.union(more).distinct())
         if bigger.count() == chain.count():
             break
         chain = bigger
-        known = _written(known.alias("x").join(known.alias("y"), F.col("x.p") == F.col("y.b")).select("x.b", "y.p"))
+        known = _kept(known.alias("x").join(known.alias("y"), F.col("x.p") == F.col("y.b")).select("x.b", "y.p"))
     return rooted.join(chain, "b", "left_semi").select(F.col("b").alias("block_hash"), "height")

@@ -7,27 +7,10 @@ re-read. Labels are the smallest member, so they are deterministic."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_own_shared_dir", None)
-        if not base:
-            base = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = _folder(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ledgerspark.shared import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -53,14 +36,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Null ends and loops make no edge. No edges give no rows."""
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = _written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
     # Sums of a hash of all edges tell whether a round changed the table.
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(now)
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = _written(_star(_star(now, True), False))
+        before, now = now, stored(_star(_star(now, True), False), "components")
+        dropped(before)
         new = mark(now)
         if new == seen:
             break
