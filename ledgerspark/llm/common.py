@@ -1,50 +1,49 @@
-"""Shared helpers: the shared folder, materialised tables, worker caches."""
+"""Shared helpers: Arrow batch bounds, worker caches, text folding."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: Rows of one Arrow batch; texts can be long, so a batch holds few of them.
-ARROW_ROWS = 1000
+from ledgerspark.shared import dropped, fresh, new_path, stored
 
+__all__ = ["documents", "dropped", "fresh", "lower_ascii", "new_path", "partitions", "released", "row_struct", "small_arrow_batches", "stored", "worker_cache"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the cluster names it.
+#: Rows and bytes of one Arrow batch; texts can be long, so a batch holds few of them.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder is made and kept for the session."""
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        base = getattr(spark, "_own_shared_dir", None)
-        if not base:
-            base = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return base.rstrip("/")
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of whole texts holds in a Python worker.
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    The settings are read when a plan runs, so they stay set; bounds that are
+    smaller already are kept."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def released() -> None:
+    """Give freed memory of this Python worker back to the system, at a task's end."""
+    import ctypes
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+def row_struct(docs: DataFrame, name: str = "row"):
+    """All columns as one struct, so that helper columns beside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
 def partitions(spark: SparkSession) -> int:

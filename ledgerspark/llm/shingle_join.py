@@ -2,26 +2,38 @@
 
 A document's set is its distinct word shingles, hashed to 64 bits. Sets are
 arranged in size bands. A band's scheme hashes the universe of shingles into
-segments; sets of Jaccard similarity 0.8 or more differ in at most h shingles, so
-of any h + 1 segments of a set one is equal in its partner. A set is indexed by
-all its non-empty segments, under the scheme of its band and, if it may be the
+segments; a set's segment subset is what of the set falls into a segment. Sets of
+Jaccard similarity 0.8 or more differ in at most h shingles, so of any h + 1
+segment subsets of a set one is equal in its partner. A set is indexed by all its
+non-empty segment subsets, under the scheme of its band and, if it may be the
 larger of a pair, under the band below. Sets of few segments are also indexed by
-their segments' one-deletion neighbourhoods: a segment equal up to one shingle
+their subsets' one-deletion neighbourhoods: a subset equal up to one shingle
 counts twice.
 
 Allocation by cost: the index tells how many sets share each key. A set must look
-through segments worth h + 1; those that no other set shares cost nothing and come
-first, then the cheapest. A set with h + 1 segments of its own has no partner at
+through subsets worth h + 1; those that no other set shares cost nothing and come
+first, then the cheapest. A set with h + 1 subsets of its own has no partner at
 all, so common passages cost nothing to sets that are otherwise their own. Sets
-whose segments are not worth h + 1 also share one key and so meet each other.
-
-Equal sets form a class, looked up once. Within a class of near copies not all
-pairs are verified: components suffice, so each set is verified first against
-the weightiest center of its keys (the member that shares most with others), then
-against the other centers, then against every remaining member of its keys that
-is not in its component yet. The last step leaves out no pair that could link two
-components, so the result is exact. Verification counts the shingles of both
-whole texts.
+whose subsets are not worth h + 1 also share one key and so meet each other.
+
+What a set looks through meets by centers: a key's center is its member that
+shares most, and keys of one center are looked through together, once. Members
+carry parity sketches: bit i tells whether an odd number of a set's shingles hash
+to i, so two sketches differ in no more bits than the sets in shingles. Pairs
+whose sketches differ in more bits than linked sets may are left out, which loses
+no link; the rest is verified by counting the shingles of both whole texts. Only
+such pairs become rows. Components suffice, so this goes in three rounds: every
+set with its nearest center; every set with its nearest member of each other
+component; every pair left that lies in different components. The last round
+leaves out no pair that could link two components, so the result is exact.
+
+Heavy keys: a key that many sets of one batch of texts share is known to be
+shared; such entries are dealt by set, and one mark of the batch goes to the key.
+Centers with many members are split into blocks, each pair of blocks a group.
+
+Hashes: equal sets are one class by a 128-bit name (a clash of its first half is
+seen, and the names are made anew). A 64-bit hash stands for a shingle: two texts
+of n different shingles are mistaken in one with probability n^2 / 2^64.
 
 Defined cases: null text, and text without words, has the empty set and links
 with nothing; with fewer words than a shingle the whole sequence is one; rows
@@ -34,7 +46,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import partitions, small_arrow_batches, stored
+from ledgerspark.llm.common import dropped, partitions, released, row_struct, small_arrow_batches, stored
 from ledgerspark.operators.cluster import components
 
 WORDS = 5
@@ -44,8 +56,14 @@ PERCENT = 80
 BAND = 1.5
 #: Schemes of so many segments or fewer index deletions.
 FEW_SEGMENTS = 16
-#: Sets verified against one other set in one task.
+#: Sets verified against one other set in one group; a group is streamed.
 GROUP = 256
+#: Sets of one batch of texts that make a key heavy, and what a heavy key counts for a set of the batch.
+HEAVY, HEAVY_COST = 64, 256
+#: Sets, and bytes of their sketches, in a block of a center's members.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Bits of a sketch for each shingle that linked sets may differ in, at least; a power of two.
+SKETCH_BITS = 8
 #: Fixed value: odd multiplier of word and shingle hashes.
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -143,16 +161,75 @@ def shingle_sets(texts, words: int = WORDS):
     return h, np.cumsum(np.bincount(of, minlength=len(raw)))
 
 
-def digests(h, ends):
+def digests(h, ends, seed: int = 0):
     """One signed 64-bit name per set, from sums of its shingles' mixed hashes and its size."""
     import numpy as np
 
     with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(mixed(h + np.uint64(99)), dtype=np.uint64)]
+        sums = np.r_[np.uint64(0), np.cumsum(mixed(h + np.uint64(99 + seed)), dtype=np.uint64)]
         starts = np.r_[0, ends[:-1]]
         return mixed((sums[ends] - sums[starts]) ^ (ends - starts).astype(np.uint64) * np.uint64(MULTIPLIER)).view(np.int64)
 
 
+def sketch_bits(top: int) -> int:
+    """Bits of the sketches of a band's sets."""
+    return 1 << max(6, (SKETCH_BITS * most_apart(top, largest_partner(top)) - 1).bit_length())
+
+
+def sketches(h, ends) -> list[bytes]:
+    """Parity sketch of each set, as long as its band asks."""
+    import numpy as np
+
+    tops = bands()
+    size = np.diff(np.r_[0, ends])
+    bits = np.array([sketch_bits(tops[i]) for i in np.searchsorted(tops, size)], np.int64)
+    begin = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(size)), size)
+    at = (mixed(h ^ np.uint64(0x0DD)) & (bits[of] - 1).astype(np.uint64)).astype(np.int64) + begin[of]
+    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[i // 8 : (i + n) // 8] for i, n in zip(begin.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(sketches_: list[bytes], bits: int):
+    """Sketches as rows of 64-bit words, the longer ones folded to ``bits``."""
+    import numpy as np
+
+    out = np.empty((len(sketches_), bits // 64), np.uint64)
+    for i, raw in enumerate(sketches_):
+        x = np.frombuffer(raw, "<u8")
+        while len(x) > bits // 64:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def close_pairs(a, n_a, b, n_b, differ):
+    """(rows of a, rows of b, bits) of pairs that ``differ(i, j)`` asks for and that may be linked.
+
+    a and b are sketches of equal width, n_a and n_b the sets' sizes. Tiles bound
+    the memory: a few megabytes whatever the blocks' sizes."""
+    import numpy as np
+
+    rows, cols, bits = [], [], []
+    step = max(1, (4 << 20) // max(1, 8 * a.shape[1] * len(b)))
+    for i in range(0, len(a), step):
+        part = n_a[i : i + step, None]
+        ask = differ(slice(i, i + step)) & (part * 100 >= n_b[None] * PERCENT) & (n_b[None] * 100 >= part * PERCENT)
+        x, y = np.nonzero(ask)
+        for k in range(0, len(x), 65_536):
+            x2, y2 = x[k : k + 65_536], y[k : k + 65_536]
+            far = np.zeros(len(x2), np.int64)
+            for w in range(0, a.shape[1], 64):
+                far += np.bitwise_count(a[i + x2, w : w + 64] ^ b[y2, w : w + 64]).sum(axis=1, dtype=np.int64)
+            near = far <= (n_a[i + x2] + n_b[y2]) * (100 - PERCENT) // (100 + PERCENT)
+            rows.append(i + x2[near])
+            cols.append(y2[near])
+            bits.append(far[near])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(rows), join(cols), join(bits)
+
+
 def index_keys(h, ends, tops):
     """Index entries (set number, key, need, units, unit) of the sets given one after another.
 
@@ -226,8 +303,8 @@ def portions(texts, chars: int = 1_000_000):
         yield at, len(texts)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, h (text hash), n (set size), rec (name of the set) of every row."""
+def document_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, h (text hash), n (set size), rec and rec2 (halves of the set's name) of every row."""
     small_arrow_batches(docs.sparkSession)
 
     def run(batches):
@@ -236,23 +313,27 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            sizes, recs = [], []
+            sizes, recs = [], ([], [])
             for a, b in portions(texts):
                 h, ends = shingle_sets(texts[a:b])
                 sizes.append(np.diff(np.r_[0, ends]))
-                recs.append(digests(h, ends))
+                for i in (0, 1):
+                    recs[i].append(digests(h, ends, 2 * seed + i))
             if texts:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(sizes)), pa.array(np.concatenate(recs))], ["doc_id", "h", "n", "rec"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.concatenate(x)) for x in (sizes, *recs)]], ["doc_id", "h", "n", "rec", "rec2"])
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, n long, rec long")
+    return rows.mapInArrow(run, "doc_id long, h long, n long, rec long, rec2 long")
 
 
-def shared_keys(docs: DataFrame) -> DataFrame:
+def shared_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
     """rec, n, key, unit, need, units, sharing: index entries that sets share.
 
     Entries travel as blocks, one for each batch of texts and part of the key
-    space; a task sorts the entries of its parts."""
+    space; a task sorts the entries of its parts. No batch of texts sends more than
+    ``HEAVY`` entries of a key to the key's part: beyond that they go to parts by
+    set, and the key's part gets one mark (no set, how many it stands for)."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     parts = 4 * partitions(spark)
@@ -267,7 +348,7 @@ def shared_keys(docs: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in portions(texts, 4_000_000):
                 h, ends = shingle_sets(texts[a:b])
-                recs = digests(h, ends)
+                recs = digests(h, ends, 2 * seed)
                 who, key, need, units, unit = index_keys(h, ends, tops)
                 # A copy of a set that this task has sent adds nothing.
                 fresh = np.array([not (r in seen or seen.add(r)) for r in recs.tolist()], bool)
@@ -275,54 +356,76 @@ def shared_keys(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 keep = fresh[who] if len(who) else np.zeros(0, bool)
                 who, key, need, units, unit = who[keep], key[keep], need[keep], units[keep], unit[keep]
-                part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((who, part))
-                who, key, need, units, unit, part = who[order], key[order], need[order], units[order], unit[order], part[order]
-                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+                if not len(who):
+                    continue
+                names, of, count = np.unique(key, return_inverse=True, return_counts=True)
+                heavy = count[of] >= HEAVY
                 size = np.diff(np.r_[0, ends])
-                cols = [key, recs[who], size[who].astype(np.int32), need.astype(np.int32), units.astype(np.int32), unit.astype(np.int16)]
+                spread = lambda x: (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                marks = names[count >= HEAVY]
+                none = np.zeros(len(marks), np.int64)
+                cols = [
+                    np.r_[key, marks], np.r_[recs[who], none], np.r_[size[who], none].astype(np.int32), np.r_[need, none].astype(np.int32), np.r_[units, none].astype(np.int32), np.r_[unit, none].astype(np.int16),
+                    np.r_[np.where(heavy, np.minimum(count[of] * HEAVY_COST, 1 << 30), 1), count[count >= HEAVY]].astype(np.int32),
+                ]
+                part = np.r_[np.where(heavy, parts + spread(recs[who]), spread(key)), spread(marks)]
+                order = np.argsort(part, kind="stable")
+                part, cols = part[order], [c[order] for c in cols]
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 rows = [[c[i:j].tobytes() for i, j in zip(cuts, np.r_[cuts[1:], len(part)], strict=True)] for c in cols]
-                if len(cuts):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], ["part", "key", "rec", "n", "need", "units", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], ["part", "key", "rec", "n", "need", "units", "unit", "times"])
+        released()
 
     def meet(batches):
         import numpy as np
         import pyarrow as pa
 
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int16)
-        got = [[] for _ in kinds]
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int16, np.int32)
+        got = {False: [[] for _ in kinds], True: [[] for _ in kinds]}
         for batch in batches:
-            for i in range(len(kinds)):
-                got[i].append(b"".join(batch.column(i + 1).to_pylist()))
-        cols = [np.frombuffer(b"".join(g), t) for g, t in zip(got, kinds, strict=True)]
-        # Only keys that occur twice need the sort.
-        order = np.argsort(cols[0], kind="stable")
-        key = cols[0][order]
-        twin = np.zeros(len(key), bool)
-        if len(key):
-            same = key[1:] == key[:-1]
-            twin[1:] |= same
-            twin[:-1] |= same
-        cols = [c[order[twin]] for c in cols]
-        order = np.lexsort((cols[5], cols[1], cols[0]))
-        cols = [c[order] for c in cols]
-        key, rec = cols[:2]
-        if not len(key):
-            return
-        first = np.r_[True, (key[1:] != key[:-1]) | (rec[1:] != rec[:-1])]
-        cols = [c[first] for c in cols]
-        key, rec = cols[:2]
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[begin, len(key)])
-        sharing = np.repeat(n, n)
-        keep = sharing > 1
-        for a in range(0, int(keep.sum()), 100_000):
-            at = np.flatnonzero(keep)[a : a + 100_000]
-            arrays = [cols[1][at], cols[2][at], key[at], cols[5][at], cols[3][at], cols[4][at], sharing[at].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rec", "n", "key", "unit", "need", "units", "sharing"])
-
-    blocks = docs.select("text").mapInArrow(emit, "part int, key binary, rec binary, n binary, need binary, units binary, unit binary")
-    return blocks.repartition(partitions(spark), "part").mapInArrow(meet, "rec long, n int, key long, unit short, need int, units int, sharing int")
+            known = batch.column(0).to_numpy() >= parts
+            for which in (False, True):
+                if (known == which).any():
+                    some = batch.filter(pa.array(known == which))
+                    for i in range(len(kinds)):
+                        got[which][i].append(b"".join(some.column(i + 1).to_pylist()))
+        for which in (False, True):
+            cols = [np.frombuffer(b"".join(g), t) for g, t in zip(got.pop(which), kinds, strict=True)]
+            if not len(cols[0]):
+                continue
+            if not which:
+                # Only keys that occur twice need the sort.
+                order = np.argsort(cols[0], kind="stable")
+                key = cols[0][order]
+                twin = np.zeros(len(key), bool)
+                same = key[1:] == key[:-1]
+                twin[1:] |= same
+                twin[:-1] |= same
+                cols = [c[order[twin]] for c in cols]
+            order = np.lexsort((cols[5], cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            key, rec, mark = cols[0], cols[1], cols[2] == 0
+            if not len(key):
+                continue
+            first = np.r_[True, (key[1:] != key[:-1]) | (rec[1:] != rec[:-1])] | mark
+            cols = [c[first] for c in cols]
+            key, mark = cols[0], cols[2] == 0
+            if which:
+                sharing, keep = cols[6], np.ones(len(key), bool)
+            else:
+                begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                total = np.add.reduceat(cols[6].astype(np.int64), begin)
+                sharing = np.minimum(np.repeat(total, np.diff(np.r_[begin, len(key)])), 1 << 30).astype(np.int32)
+                keep = (sharing > 1) & ~mark
+            every = np.flatnonzero(keep)
+            for a in range(0, len(every), 100_000):
+                at = every[a : a + 100_000]
+                arrays = [cols[1][at], cols[2][at], key[at], cols[5][at], cols[3][at], cols[4][at], sharing[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rec", "n", "key", "unit", "need", "units", "sharing"])
+        released()
+
+    block = "part int, key binary, rec binary, n binary, need binary, units binary, unit binary, times binary"
+    return docs.select("text").mapInArrow(emit, block).repartition(partitions(spark), "part").mapInArrow(meet, "rec long, n int, key long, unit short, need int, units int, sharing int")
 
 
 def allocate(shared: DataFrame) -> DataFrame:
@@ -337,41 +440,120 @@ def allocate(shared: DataFrame) -> DataFrame:
     by = Window.partitionBy("rec", "scheme")
     ranked = units.withColumns({"nr": F.row_number().over(by.orderBy("cost", "unit", "u")), "listed": F.count("*").over(by)})
     picked = ranked.where("nr <= need - (units - listed)").select("rec", "scheme", "u")
-    return each.join(picked, ["rec", "scheme", "u"]).select("rec", "n", "key")
+    return each.join(picked, ["rec", "scheme", "u"]).select("rec", "n", "key").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with column linked, by counting the shingles of both whole texts.
 
-    Sets that are compared with one set go in groups of ``GROUP``, so a set that
-    many are compared with is many tasks' work."""
-    many = pairs.withColumn("g", F.floor((F.row_number().over(Window.partitionBy("a", F.pmod(F.xxhash64("b"), F.lit(64))).orderBy("b")) - 1) / GROUP) * 64 + F.pmod(F.xxhash64("b"), F.lit(64)))
-    few = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    many = many.join(few, "a").withColumn("g", F.when(F.col("partners") <= GROUP, F.lit(-1).cast("long")).otherwise(F.col("g")))
-    right = many.select("a", "g", "b").join(texts.select(F.col("rec").alias("b"), F.col("text").alias("t")), "b").select("a", "g", "b", "t")
-    left = many.select("a", "g").distinct().join(texts.select(F.col("rec").alias("a"), F.col("text").alias("t")), "a").select(F.col("a").alias("a1"), F.col("g").alias("g1"), F.col("t").alias("t1"))
+    The sets compared with one set follow it in a sorted stream; beyond ``GROUP``
+    of them they are dealt to several groups, each with the one set again."""
+    spark = pairs.sparkSession
+    small_arrow_batches(spark)
+    groups = pairs.groupBy("a").agg(F.expr(f"CAST(count(*) div {GROUP} + 1 AS INT)").alias("groups"))
+    right = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
+    right = right.join(texts.select(F.col("rec").alias("b"), "text"), "b").select("a", "g", F.lit(1).alias("kind"), "b", "text")
+    left = groups.join(texts.select(F.col("rec").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
 
-    def compare(one, others):
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        b, linked = [], []
-        if one.num_rows and others.num_rows:
-            mine, _ = shingle_sets([one.column("t1")[0].as_py()])
-            names, texts_ = others.column("b").to_pylist(), others.column("t").to_pylist()
+        mine = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, kind, b = batch.column(0), batch.column(2).to_numpy(), batch.column(3)
+            texts_ = batch.column(4).to_pylist()
+            linked = np.zeros(len(texts_), bool)
             for i, j in portions(texts_):
                 h, ends = shingle_sets(texts_[i:j])
-                at = np.minimum(np.searchsorted(mine, h), max(len(mine) - 1, 0))
-                common = np.r_[0, np.cumsum(mine[at] == h)] if len(mine) else np.zeros(len(h) + 1, np.int64)
                 starts = np.r_[0, ends[:-1]]
-                both = common[ends] - common[starts]
-                union = (ends - starts) + len(mine) - both
-                b += names[i:j]
-                linked += (100 * both >= PERCENT * union).tolist()
-        a = one.column("a1")[0].as_py() if one.num_rows else None
-        return pa.table({"a": pa.array([a] * len(b), pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+                for k in range(i, j):
+                    own = h[starts[k - i] : ends[k - i]]
+                    if kind[k] == 0:
+                        mine = own.copy()
+                    elif len(mine) and len(own):
+                        both = int((mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own).sum())
+                        linked[k] = 100 * both >= PERCENT * (len(own) + len(mine) - both)
+            asked = pa.array(kind == 1)
+            yield pa.RecordBatch.from_arrays([a.filter(asked), b.filter(asked), pa.array(linked).filter(asked)], ["a", "b", "linked"])
+        released()
+
+    rows = left.unionByName(right).repartition(partitions(spark), "a", "g").sortWithinPartitions("a", "g", "kind")
+    return rows.mapInArrow(compare, "a long, b long, linked boolean")
+
+
+def candidates(lookers: DataFrame, members: DataFrame, marks: DataFrame, nearest: bool = False) -> DataFrame:
+    """rec, rec2, comp2, bits: pairs of a looker and a member of its groups that may be linked.
+
+    Both sides: center, scheme, rec, n, comp; marks: rec, sketch. Pairs of one
+    component are left out; with ``nearest``, so are all but a looker's nearest
+    member of each component within a block. Groups are split into blocks of
+    bounded size."""
+    spark = lookers.sparkSession
+    small_arrow_batches(spark)
+    tops = bands(1 << 32)
+    group = ["center", "scheme"]
+    row_bytes = F.get(F.array(*[F.lit(sketch_bits(t) // 4).cast("long") for t in tops]), F.col("scheme"))
+    size = lambda df, name: df.groupBy(*group).agg(F.count("*").alias("m")).select(*group, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("m") * row_bytes / BLOCK_BYTES)).cast("int").alias(name))
+    # Only groups with members of other components have anything to compare.
+    sides = lookers.select(*group, "comp").unionByName(members.select(*group, "comp"))
+    several = sides.groupBy(*group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*group)
+    shape = size(lookers, "p").join(size(members, "q"), group).join(several, group)
+    deal = lambda n: F.pmod(F.xxhash64("rec"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["rec", "n", "comp"]
+    left = lookers.join(shape, group).select(*group, deal("p").alias("i"), every("q").alias("j"), F.lit(0).alias("kind"), *columns)
+    right = members.join(shape, group).select(*group, every("p").alias("i"), deal("q").alias("j"), F.lit(1).alias("kind"), *columns)
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    return left.groupBy("a1", "g1").cogroup(right.groupBy("a", "g")).applyInArrow(compare, "a long, b long, linked boolean")
+        def cells():
+            """(scheme, kinds, recs, sizes, comps, sketches) of each group of rows."""
+            held, name = [], None
+            for batch in batches:
+                keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+                cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+                for s, e in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=True):
+                    this = tuple(keys[:, s])
+                    if name is not None and this != name:
+                        yield name[1], held
+                        held = []
+                    name = this
+                    held.append(batch.slice(s, e - s))
+            if held:
+                yield name[1], held
+
+        out, rows = [], 0
+        names = ["rec", "rec2", "comp2", "bits"]
+        for scheme_, held in cells():
+            kind, rec, n, comp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (4, 5, 6, 7))
+            if not (0 < kind.sum() < len(kind)):
+                continue
+            raw = [x for b in held for x in b.column(8).to_pylist()]
+            x = folded(raw, sketch_bits(tops[scheme_]))
+            one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            i, j, far = close_pairs(x[one], n[one].astype(np.int64), x[two], n[two].astype(np.int64), lambda at: comp[one[at], None] != comp[two][None])
+            i, j = one[i], two[j]
+            if nearest and len(i):
+                order = np.lexsort((rec[j], far, comp[j], i))
+                i, j, far = i[order], j[order], far[order]
+                first = np.r_[True, (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])]
+                i, j, far = i[first], j[first], far[first]
+            if len(i):
+                out.append((rec[i], rec[j], comp[j], far))
+                rows += len(i)
+            if rows > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                out, rows = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        released()
+
+    rows = left.unionByName(right).join(marks, "rec").select(*group, "i", "j", "kind", *columns, "sketch")
+    cells_ = rows.repartition(partitions(spark), *group, "i", "j").sortWithinPartitions(*group, "i", "j", "kind")
+    return cells_.mapInArrow(compare, "rec long, rec2 long, comp2 long, bits long")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -380,54 +562,82 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(sets, their first rows: rec, doc_id, h, n; seed of their names), written."""
+    for seed in range(8):
+        sets = stored(document_sets(docs, seed), "shingle-sets")
+        one = sets.groupBy("rec").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.first("n").alias("n"), (F.min("rec2") != F.max("rec2")).alias("clash"))
+        one = stored(one.select("rec", "o.doc_id", "o.h", "n", "clash"), "shingle-classes")
+        if one.where("clash").isEmpty():
+            return sets, one.drop("clash"), seed
+        dropped(sets, one)
+    raise RuntimeError("names of sets clash with eight seeds")
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets: doc_id, h, n, rec; links between sets: a, b), both written.
+    """(sets: doc_id, h, n, rec, rec2; links between sets: a, b), both written.
 
     links hold enough of all links for every component."""
-    sets = stored(document_sets(docs), "shingle-sets")
-    shared = stored(shared_keys(docs), "shared-keys")
+    sets, one, seed = _sets(docs)
+    shared = stored(shared_keys(docs, seed), "shared-keys")
     chosen = stored(allocate(shared), "chosen-keys")
     members = shared.join(chosen.select("key").distinct(), "key", "left_semi").select("key", "rec", "n")
-    wanted = members.select("rec").distinct()
-    one = sets.groupBy("rec").agg(F.min(F.struct("doc_id", "h")).alias("o")).select("rec", "o.doc_id", "o.h")
-    one = one.join(wanted, "rec", "left_semi").select("rec", F.col("doc_id").alias("d"), F.col("h").alias("k"))
+    weight = shared.groupBy("rec").agg(F.sum(F.col("sharing").cast("long")).alias("w"))
+    centers = members.join(weight, "rec").groupBy("key").agg(F.max(F.struct("w", "rec")).alias("c")).select("key", F.col("c.rec").alias("center"))
+    centers = stored(centers, "key-centers")
+    # Keys of one center are looked through together.
+    grouped = lambda df: df.join(centers, "key").select("center", F.shiftrightunsigned("key", 56).cast("int").alias("scheme"), "rec", "n").distinct()
+    looking, belonging = stored(grouped(chosen), "lookers"), stored(grouped(members), "members")
+    dropped(shared, chosen, centers)
+
+    wanted = one.join(belonging.select("rec").distinct(), "rec", "left_semi").select("rec", F.col("doc_id").alias("d"), F.col("h").alias("k"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("rec", "text").dropDuplicates(["rec"])
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("rec", "text").dropDuplicates(["rec"])
     texts = stored(texts, "candidate-texts", compression="zstd")
 
-    def more(found: DataFrame, new: DataFrame, name: str) -> DataFrame:
-        new = new.join(found, ["a", "b"], "left_anti")
-        return stored(found.unionByName(verified(new, texts)), name)
+    def sketch(batches):
+        import pyarrow as pa
 
-    # A key's center is the member that shares most with others: of a text and its
-    # edited copies the text itself, to which all are nearer than to each other.
-    weight = shared.groupBy("rec").agg(F.sum(F.col("sharing").cast("long")).alias("w"))
-    centers = members.join(weight, "rec").groupBy("key").agg(F.max(F.struct("w", "rec")).alias("c")).select("key", F.col("c.rec").alias("center"), F.col("c.w").alias("w"))
-    chosen = stored(chosen.join(centers, "key"), "centered-keys")
-    # First the weightiest center of a set's keys.
-    votes = chosen.where("rec <> center").groupBy("rec", "center").agg(F.count("*").alias("votes"), F.max("w").alias("w"))
-    best = votes.withColumn("nr", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("w"), F.desc("votes"), "center"))).where("nr = 1")
-    found = stored(verified(_pairs(best.select("rec", "center")), texts), "pairs-1")
-
-    def labelled(found: DataFrame):
-        of = components(found.where("linked")).select(F.col("node").alias("rec"), "component")
-        return lambda df, col="rec", out="comp": df.join(of.select(F.col("rec").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-
-    # Then all centers of other components.
-    comp = labelled(found)
-    apart = comp(comp(votes.select("rec", "center")), "center", "comp2").where("comp <> comp2")
-    found = more(found, _pairs(apart.select("rec", "center")), "pairs-2")
-    # Then whatever else shares a chosen key and lies in another component.
-    comp = labelled(found)
-    of_key = stored(comp(members), "key-members")
-    comps = of_key.select("key", F.col("comp").alias("comp2")).distinct()
-    mixed_ = comps.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    lookers = comp(chosen.select("rec", F.col("n").alias("n1"), "key").join(mixed_, "key", "left_semi"))
-    across = lookers.join(comps.join(mixed_, "key", "left_semi"), "key").where("comp <> comp2")
-    rest = across.join(of_key.select("key", F.col("comp").alias("comp2"), F.col("rec").alias("rec2"), "n"), ["key", "comp2"])
-    rest = rest.where(f"n1 * 100 >= n * {PERCENT} AND n * 100 >= n1 * {PERCENT}").select("rec", "rec2")
-    found = more(found, _pairs(rest), "pairs-3")
-    return sets, found.where("linked").select("a", "b")
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            for a, b in portions(names):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sketches(*shingle_sets(names[a:b])), pa.binary())], ["rec", "sketch"])
+        released()
+
+    marks = stored(texts.select("rec", "text").mapInArrow(sketch, "rec long, sketch binary"), "sketches")
+
+    def labelled(found: list[DataFrame] | None):
+        """A function that adds comp, a set's component by the links found so far."""
+        if found is None:
+            return lambda df: df.withColumn("comp", F.col("rec"))
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        of = components(links.where("linked")).select(F.col("node").alias("rec"), F.col("component").alias("comp"))
+        return lambda df: df.join(of, "rec", "left").withColumn("comp", F.coalesce("comp", "rec"))
+
+    def found_by(new: DataFrame, name: str) -> DataFrame:
+        pairs = stored(_pairs(new), f"{name}-pairs")
+        out = stored(verified(pairs, texts), name)
+        dropped(pairs)
+        return out
+
+    # Every set with its nearest center.
+    comp = labelled(None)
+    others = comp(looking.where("rec <> center"))
+    near = candidates(others, comp(belonging.where("rec = center")), marks)
+    best = near.withColumn("nr", F.row_number().over(Window.partitionBy("rec").orderBy("bits", "rec2"))).where("nr = 1")
+    found = [found_by(best.select("rec", "rec2"), "found-1")]
+    # Every set with its nearest member of each other component; then whatever is left.
+    for nearest in (True, False):
+        comp = labelled(found)
+        near = candidates(comp(looking), comp(belonging), marks, nearest)
+        known = found[0].unionByName(found[-1]) if len(found) > 1 else found[0]
+        new = _pairs(near.select("rec", "rec2")).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found.append(found_by(new, f"found-{len(found) + 1}"))
+    dropped(looking, belonging, texts, marks)
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return sets, every.where("linked").select("a", "b")
 
 
 def component_report(docs: DataFrame) -> DataFrame:
@@ -448,19 +658,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     It is the row of the smallest id (rows without id last), then of the smallest
     text hash, then of the smallest hash of all columns. Rows without words are
-    each a component of their own and stay."""
+    each a component of their own and stay. Any further columns are carried,
+    whatever their names."""
     sets, links = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("o")
     of = components(links).withColumnRenamed("node", "rec").join(sets.where("n > 0").groupBy("rec").agg(first), "rec", "right")
     of = of.withColumn("component", F.coalesce("component", "rec"))
     named = of.join(of.groupBy("component").agg(F.min("o").alias("kept")), "component").select("rec", F.col("kept.doc_id").alias("d"), F.col("kept.h").alias("k"))
-    rows = sets.where("n > 0").join(named, "rec").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).agg(F.count("*").alias("times"), F.max(F.expr("doc_id <=> d AND h <=> k")).alias("kept"))
-    marked = stored(rows.where("times > 1 OR NOT kept").select("_d", "_k", "kept"), "near-duplicates")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))
-    met = docs.withColumn("_h", F.xxhash64("text"))
-    out = met.join(marked, same, "left_anti").select(*docs.columns)
+    rows = sets.where("n > 0").join(named, "rec").groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.max(F.expr("doc_id <=> d AND h <=> k")).alias("kept"))
+    marked = stored(rows.where("times > 1 OR NOT kept").select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "kept"), "near-duplicates")
+    met = docs.select(row_struct(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
+    out = met.join(marked, same, "left_anti").select("row.*")
     again = marked.where("kept")
     if again.isEmpty():
         return out
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")
-    return out.unionByName(met.join(again, same).groupBy("_d", "_k").agg(row).select("r.*"))
+    row = F.min_by("row", F.xxhash64("row")).alias("row")
+    return out.unionByName(met.join(again, same).groupBy("d", "k").agg(row).select("row.*"))
