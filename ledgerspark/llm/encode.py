@@ -15,26 +15,30 @@ from array import array
 
 from ledgerspark.llm.common import worker_cache
 
-#: Chunks and letter runs kept per worker, in each of two generations.
-CACHE_CHUNKS = 300_000
-CACHE_RUNS = 400_000
+#: Bytes of chunks and of letter runs with their ids that a worker keeps, in each of two generations.
+CHUNK_BYTES, RUN_BYTES = 36 << 20, 24 << 20
+#: What an entry takes besides its characters and ids: two objects' headers and its place in the table.
+ENTRY_BYTES = 180
 #: Characters of text looked at together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as an array of uint32.
 
     Equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the whole
-    text, with the strings of special tokens taken as ordinary text. None and
-    '' have no ids."""
+    text. Texts that hold the string of an added token, in any case, are encoded
+    as a whole. None and '' have no ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search
+        #: What every added token's string begins with; few texts have it at all.
+        self.mark = os.path.commonprefix(added)[:2] if added else "\0no added tokens"
         self.lowers = self.tok.normalizer is not None
         #: Byte-level pieces keep the space before a word, word-end pieces drop it.
         self.space = "" if self.lowers else " "
@@ -43,6 +47,7 @@ class Encoder:
         self.runs: dict[str, bytes] = {}
         self.old_runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.chunk_bytes = self.run_bytes = 0
         self.beside_space = re.compile(r"^ |\s |  ").search
         self.before_word = re.compile(r"(?=(?<!\s) (?!\s))").split
         #: Where a comma or full stop may not be cut off, or a line end not after it.
@@ -71,6 +76,7 @@ class Encoder:
                 piece = letters.encode().decode("latin-1").translate(self.byte_chars)
             ids = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
         self.runs[letters] = ids
+        self.run_bytes += len(letters) + len(ids) + ENTRY_BYTES
         return ids
 
     def _tail(self, marks: str) -> bytes:
@@ -84,13 +90,13 @@ class Encoder:
 
     def _known(self, names: list[str]) -> list[bytes]:
         """Ids of distinct chunks."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.runs) > CACHE_RUNS:
-            self.old_runs, self.runs = self.runs, {}
+        if self.chunk_bytes > CHUNK_BYTES:
+            self.old_chunks, self.chunks, self.chunk_bytes = self.chunks, {}, 0
+        if self.run_bytes > RUN_BYTES:
+            self.old_runs, self.runs, self.run_bytes = self.runs, {}, 0
         chunks, old = self.chunks, self.old_chunks
         word, run, tail, known = self.word, self._run, self._tail, self.runs.get
-        out, odd = list(map(chunks.get, names)), []
+        out, odd, held, before = list(map(chunks.get, names)), [], 0, len(chunks)
         for i, ids in enumerate(out):
             if ids is not None:
                 continue
@@ -110,8 +116,11 @@ class Encoder:
                     if d:
                         ids += tail(d)
             out[i] = chunks[name] = ids
+            held += len(name) + len(ids)
         for i, ids in zip(odd, self._whole([names[i] for i in odd]), strict=True):
             out[i] = chunks[names[i]] = ids
+            held += len(names[i]) + len(ids)
+        self.chunk_bytes += held + ENTRY_BYTES * (len(chunks) - before)
         return out
 
     def _pieced(self, pieces) -> list:
@@ -137,7 +146,9 @@ class Encoder:
         out = [np.zeros(0, "<u4")] * len(texts)
         plain, cut = [], []
         for i, text in enumerate(texts):
-            if text:
+            if text and self.mark in text and self.special(text):
+                out[i] = np.frombuffer(self._whole([text])[0], "<u4")
+            elif text:
                 (cut if self.space and (self.beside_space(text) or "\0" in text) else plain).append(i)
         if plain:
             some = [self._marked(texts[i]) for i in plain]

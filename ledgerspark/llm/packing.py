@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import small_arrow_batches, stored
+from ledgerspark.llm.common import released, small_arrow_batches, stored
 from ledgerspark.llm.encode import encoder, portions
 
 SIZE = 1024
@@ -96,6 +96,7 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SI
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -122,13 +123,15 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     # Number the pieces of a length: counts of (length, chunk of rows) first, then inside.
     pieces = pieces.withColumn("chunk", F.shiftright("pid", 33))
-    pieces.createOrReplaceTempView("pack_pieces")
-    numbered = spark.sql("""
-        WITH sums AS (SELECT length, chunk, count(*) AS n FROM pack_pieces GROUP BY length, chunk),
+    numbered = spark.sql(
+        """
+        WITH sums AS (SELECT length, chunk, count(*) AS n FROM {pieces} GROUP BY length, chunk),
              ahead AS (SELECT length, chunk, sum(n) OVER (PARTITION BY length ORDER BY chunk) - n AS before FROM sums),
-             inside AS (SELECT *, row_number() OVER (PARTITION BY length, chunk ORDER BY pid) - 1 AS nr FROM pack_pieces)
+             inside AS (SELECT *, row_number() OVER (PARTITION BY length, chunk ORDER BY pid) - 1 AS nr FROM {pieces})
         SELECT i.doc_id, i.piece, i.start, i.length, i.ids_crc32, a.before + i.nr AS nr
-        FROM inside i JOIN ahead a ON i.length = a.length AND i.chunk = a.chunk""")
+        FROM inside i JOIN ahead a ON i.length = a.length AND i.chunk = a.chunk""",
+        pieces=pieces,
+    )
 
     def place(batches):
         import pyarrow as pa

@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import new_path, partitions, small_arrow_batches
+from ledgerspark.llm.common import new_path, partitions, released, small_arrow_batches
 from ledgerspark.llm.encode import encoder, portions
 
 ROW_GROUP_BYTES = 32 << 20
@@ -73,10 +73,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
                 at += int(ends[-1])
+        released()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = narrow.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**parquet_options()).parquet(path)
+    # Rows of one id are parted by text hash and place too, so no id makes a task grow.
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("rid"))
+    keys = ["doc_id", "h", "rid"]
+    ordered = narrow.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA).write.options(**parquet_options()).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -106,8 +109,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     files = read_tokens(spark, path)
     rows = files.select("doc_id", "shard", "shard_start", "ids").mapInArrow(digest, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     sizes = files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
-    sizes.createOrReplaceTempView("token_shard_sizes")
-    offsets = spark.sql("SELECT shard, sum(n) OVER (ORDER BY shard) - n AS shard_offset FROM token_shard_sizes")
+    offsets = spark.sql("SELECT shard, sum(n) OVER (ORDER BY shard) - n AS shard_offset FROM {sizes}", sizes=sizes)
     joined = rows.join(F.broadcast(offsets), "shard")  # one row for each file
     return joined.select("doc_id", (F.col("shard_offset") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
