@@ -114,7 +114,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 OP3 = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('mix-0-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         CAST('0x' || substr(md5('mix-0-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM sizes),
 weighed AS (SELECT *, CASE (nr - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM ranked),
@@ -127,18 +127,12 @@ rest AS (SELECT *, sum(CASE WHEN is_full THEN source_size ELSE 0 END) OVER () AS
 targets AS (
   SELECT source, source_size, nr, CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE)
          ELSE CAST(weight * (goal - 4 * fs) AS DOUBLE) / CAST(2 * (all_weight - fw) AS DOUBLE) END AS target FROM rest),
-lines AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(sum(CAST(round(target) AS BIGINT)) OVER (ORDER BY nr) AS BIGINT) AS upto FROM targets),
-total AS (SELECT CAST(coalesce(sum(words), 0) AS BIGINT) AS n FROM lines),
-points AS (SELECT (k % 2147483648 * 1327217885) % 2147483648 AS point FROM total, unnest(generate_series(CAST(0 AS BIGINT), (n + 1023) // 1024 - 1)) AS s(k)),
-stretches AS (SELECT nr, CAST((CAST(upto - words AS HUGEINT) * 2147483648) // n AS BIGINT) AS low, CAST((CAST(upto AS HUGEINT) * 2147483648) // n AS BIGINT) AS high FROM lines, total WHERE n > 0),
-slots AS (SELECT nr, count(*) AS n_slots FROM points JOIN stretches ON low <= point AND point < high GROUP BY nr),
 placed AS (
-  SELECT d.doc_id, d.size, d.source, l.source_size, l.target, coalesce(s.n_slots, 0) AS n_slots, (l.source_size + 1023) // 1024 AS n_blocks,
-         CAST(sum(d.size) OVER (PARTITION BY l.nr ORDER BY CAST(('0x' || substr(key, 1, 3)) AS INTEGER) % 1024, key, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-  FROM d JOIN lines l ON d.source IS NOT DISTINCT FROM l.source LEFT JOIN slots s USING (nr))
+  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+         CAST(sum(d.size) OVER (PARTITION BY t.nr ORDER BY key, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, source,
-       CAST(greatest(0, least(start + size, least(n_slots, n_blocks) * 1024) - start)
-          + greatest(0, least(start + size, greatest(0, least(n_slots, 2 * n_blocks) - n_blocks) * 1024) - start) AS BIGINT) AS taken
+       CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(start + size, words - source_size) - start) AS BIGINT) AS taken
 FROM placed"""
 
 ORACLES: dict[str, str] = {"op3_source_mix": OP3, "op6_nearest": OP6}
