@@ -13,13 +13,17 @@ two look-ups. Terms are counted and sampled inside the task that holds their
 document: texts are dealt once by ranges of ids, nothing else of their size moves.
 
 The edit and near_next need each document's successor in descending id order.
-Ids are dealt in ranges of about equal size (from a histogram of bounded length);
-the first rows of a range are also sent to the range before it.
+Rows are dealt in ranges of about equal numbers of rows, by (id, text hash, place
+in the input), so a repeated id is split too; the first row of a range is also
+sent to the range before it. Bounds of ranges are the first rows' keys of a
+sampled range partitioning of narrow rows, ``RANGES`` at most; a row finds its
+range by binary search.
 
 Defined cases: null text is empty; a text without words has the fingerprint of
-all zeros, and two such are alike to degree 1; rows with equal ids are ordered by
-text hash, null ids come last; the only row is its own successor; an empty table
-gives no rows. Other columns are not carried.
+all zeros, and two such are alike to degree 1; ids may be any long; rows with
+equal ids are ordered by text hash, null ids come last; the only row is its own
+successor; an empty table gives no rows. Other columns are not carried. The rows
+of ``docs`` are read twice and must come in the same order.
 """
 
 from __future__ import annotations
@@ -38,7 +42,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Cells of the quantile tables; within a cell quantiles are interpolated.
 R_CELLS, C_CELLS = 64, 128
 RANGES = 16_384
-CELLS = 65_536
 
 
 def gamma_quantile(u: float) -> float:
@@ -109,50 +112,56 @@ def term_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.select(*keys, "th", F.when(F.col("count") == 1, 0.0).otherwise(F.log("count")).alias("lw"))
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, k1, k2, k3: rows with the three parts of their place in descending id order.
+
+    k1 turns ids round without overflow; in k2 null ids come after the one id that
+    k1 can't tell from null, else it is 62 bits of the text's hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("k3"))
+    k2 = F.shiftright(F.xxhash64("text"), 2) + F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    return rows.select("doc_id", "text", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("k1"), k2.alias("k2"), "k3")
+
+
 def dealt_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text, b, copy: rows dealt by ranges of descending ids.
+    """k1, k2, k3, text, b, copy, null_id: rows dealt by ranges of descending ids.
 
-    copy is 1 for first rows of the next range, which stand after range b's own."""
+    copy is 1 for the first row of the next range, which stands after range b's own."""
     import numpy as np
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     tasks = 4 * partitions(spark)
     ranges = min(RANGES, 4 * tasks)
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    cells = min(CELLS, 8 * ranges)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    # Cell 0 has the largest ids; ids that are null have a cell of their own, the last.
-    cell = F.coalesce(F.expr(f"CAST(({high or 0} - doc_id) div {width} AS INT)"), F.lit(cells))
-    seen = sorted((r["cell"], r["n"], r["top"]) for r in ids.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect())
-    number, heads, at = [0] * (cells + 1), [], 0
-    for c, k, top in seen:
-        b = min(ranges - 1, at * ranges // max(n, 1))
-        if not heads or b > heads[-1][0]:
-            heads.append((b, top))
-        number[c] = len(heads) - 1
-        at += k
-    if not heads:
-        heads = [(0, None)]
-    top = F.get(F.lit(np.array([t if t is not None else -1 for _, t in heads], np.int64)), F.col("b"))
-    nulls = (F.col("b") == len(heads) - 1) if heads[-1][1] is None else F.lit(False)
-    placed = rows.withColumn("b", F.coalesce(F.get(F.lit(np.array(number, np.int32)), cell), F.lit(0)))
-    first = (nulls & F.col("doc_id").isNull()) | (~nulls & (F.col("doc_id") == top))
-    before = (F.col("b") + len(heads) - 1) % len(heads)
+    keys = ["k1", "k2", "k3"]
+    narrow = ordered(docs).select(*keys).repartitionByRange(ranges, *keys)
+    heads = narrow.groupBy(F.spark_partition_id().alias("b")).agg(F.min(F.struct(*keys)).alias("h")).select("h.*")
+    heads = sorted(tuple(r) for r in heads.collect())  # one short row for each range
+    ends = [F.lit(np.array([h[i] for h in heads] or [0], np.int64)) for i in range(3)]
+    # Binary search for the last head that isn't above the row; one projection a step.
+    placed = ordered(docs).withColumn("b", F.lit(0))
+    step = 1 << max(0, (len(heads) - 1).bit_length())
+    while step > 1:
+        step //= 2
+        at = F.col("b") + step
+        x, y, z = (F.get(e, at) for e in ends)
+        not_above = (x < F.col("k1")) | ((x == F.col("k1")) & ((y < F.col("k2")) | ((y == F.col("k2")) & (z <= F.col("k3")))))
+        placed = placed.withColumn("b", F.when((at < max(1, len(heads))) & not_above, at).otherwise(F.col("b")))
+    x, y, z = (F.get(e, F.col("b")) for e in ends)
+    first = (x == F.col("k1")) & (y == F.col("k2")) & (z == F.col("k3"))
+    before = F.pmod(F.col("b") - 1, F.lit(max(1, len(heads))))
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))
     sent = F.struct(before.alias("b"), F.lit(1).alias("copy"))
-    placed = placed.withColumn("to", F.explode(F.when(F.coalesce(first, F.lit(False)), F.array(own, sent)).otherwise(F.array(own))))
+    placed = placed.withColumn("to", F.explode(F.when(first, F.array(own, sent)).otherwise(F.array(own))))
     # Columns that can't be null get no null filter below the exchange, so that both
     # readers of these rows have the same exchange and it is made once.
     sure = lambda c: F.coalesce(F.col(f"to.{c}"), F.lit(0)).alias(c)
-    return placed.select("doc_id", "text", sure("b"), sure("copy")).repartition(tasks, "b")
+    return placed.select(*keys, "text", F.col("doc_id").isNull().alias("null_id"), sure("b"), sure("copy")).repartition(tasks, "b")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    order = Window.partitionBy("b").orderBy("copy", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    rows = dealt_ranges(docs).select("b", "copy", "doc_id", "text", F.row_number().over(order).alias("nr"), F.lead("text").over(order).alias("next"))
+    order = Window.partitionBy("b").orderBy("copy", "k1", "k2", "k3")
+    doc_id = F.when(~F.col("null_id"), F.bitwise_not("k1")).alias("doc_id")
+    rows = dealt_ranges(docs).select("b", "copy", doc_id, "text", F.row_number().over(order).alias("nr"), F.lead("text").over(order).alias("next"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
