@@ -1,23 +1,30 @@
 """Quality classifier: importance resampling over hashed n-grams.
 
-Two generative models over hashed byte n-grams are counted: one of target text
-(rows labelled of good quality) and one of raw text (all rows). A document's
-weight is the ratio of its likelihoods, taken per n-gram and raised to
-``SHARPNESS``, so that length does not decide. Adding Gumbel noise to the log
-weights and taking the k largest draws k documents without replacement in
-proportion to the weights. k is the number of documents whose ratio is not below
-the ``TAIL`` quantile of target text that the model has not seen: target rows are
+Two generative models over hashed n-grams are counted: one of target text (rows
+labelled of good quality) and one of raw text (all rows). N-grams are of three
+kinds: 2 and 4 bytes, and 4 consecutive marks of whether a word repeats the one
+before it, which tells repetition that no n-gram of ordinary words shows. A
+document's log weight is ``SHARPNESS`` times the sum, over the kinds, of the mean
+log ratio of its n-grams' likelihoods, so that length does not decide. Adding
+Gumbel noise to the log weights and taking the k largest draws k documents
+without replacement in proportion to the weights.
+
+The sample size k is the number of documents whose weight is not below the
+``TAIL`` quantile of target text that the model has not seen: target rows are
 dealt to ``FOLDS`` by a hash of their text, and each is weighed by the model of
-the other folds. So target-like text stays.
+the other folds. Weights of target-like text lie within a few units of each other,
+so the noise decides which of the lowest of them are left out; other text lies
+tens of units below, where no noise reaches.
 
 The target model is fitted on at most ``SAMPLE`` labelled rows, chosen by hash;
 raw counts, scores and the selection cover all rows. The k-th largest key is
 found exactly by narrowing a histogram, never by gathering keys.
 
-Defined cases: null, empty and very short texts have no n-grams and log weight 0;
-equal rows have equal noise and stand or fall together (ties at the k-th key are
-all kept); without labelled rows, or if all of them fall in one fold, every row is
-kept; an empty table gives an empty result. Labels other than 1, or of absent ids, are not target.
+Defined cases: null and empty texts have no n-grams and log weight 0, like text on
+the verge of the target; equal rows have equal noise and stand or fall together
+(ties at the k-th key are all kept); without labelled rows, or if all of them fall
+in one fold, every row is kept; an empty table gives an empty result. Labels other
+than 1, or of absent ids, are not target. Further columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -25,14 +32,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import small_arrow_batches, stored
+from ledgerspark.llm.common import released, row_struct, small_arrow_batches, stored
+from ledgerspark.llm.words import word_hashes
 
 BITS = 14
 GRAMS = (2, 4)
+#: Consecutive marks of word repetition that are one n-gram.
+MARKS = 4
+KINDS = len(GRAMS) + 1
 #: Bound of the fit: labelled rows that the target model reads.
 SAMPLE = 20_000
-SHARPNESS = 200.0
-TAIL = 0.005
+SHARPNESS = 20.0
+TAIL = 0.002
 #: Parts of the target rows, each weighed by the model of the others: the fit flatters rows it has seen.
 FOLDS = 10
 SMOOTHING = 0.5
@@ -41,7 +52,7 @@ MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 
 
 def grams(texts):
-    """(hashes of all n-grams of all texts, number of n-grams of each text)."""
+    """For each kind: (hashes of all n-grams of all texts, number of n-grams of each text)."""
     import numpy as np
 
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
@@ -49,19 +60,24 @@ def grams(texts):
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     ends = np.cumsum(size)
     left = np.repeat(ends, size) - np.arange(len(data))  # bytes from here to the text's end
-    hashes, counts = [], []
+    out = []
     for n in GRAMS:
         if len(data) < n:
-            counts.append(np.zeros(len(size), np.int64))
+            out.append((np.zeros(0, np.int64), np.zeros(len(size), np.int64)))
             continue
         h = np.full(len(data) - n + 1, n * 374761393, np.uint32)
         for j in range(n):
             h = (h ^ data[j : len(data) - n + 1 + j]) * np.uint32(MULTIPLIERS[j])
         h = (h ^ (h >> np.uint32(15))) * np.uint32(MULTIPLIERS[0]) >> np.uint32(32 - BITS)
-        whole = left[: len(h)] >= n
-        hashes.append(h[whole].astype(np.int64))
-        counts.append(np.maximum(size - n + 1, 0))
-    return hashes, counts
+        out.append((h[left[: len(h)] >= n].astype(np.int64), np.maximum(size - n + 1, 0)))
+    word, owner, count = word_hashes(texts)
+    again = np.zeros(len(word), np.int64)
+    again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+    marks = again.copy()
+    for j in range(1, MARKS):
+        marks[j:] += (again[:-j] << j) * (owner[j:] == owner[:-j])
+    out.append((marks, count))
+    return out
 
 
 def portions(texts, chars: int = 1_000_000):
@@ -76,7 +92,7 @@ def portions(texts, chars: int = 1_000_000):
 
 
 def gram_counts(docs: DataFrame, folds: int = 1):
-    """Counts of all hashed n-grams of ``docs``, as an array of ``folds`` rows of 2^BITS numbers.
+    """Counts of all hashed n-grams of ``docs``: folds x KINDS x 2^BITS numbers.
 
     With more than one fold, ``docs`` has a column fold from 0."""
     import numpy as np
@@ -86,25 +102,27 @@ def gram_counts(docs: DataFrame, folds: int = 1):
     def count(batches):
         import pyarrow as pa
 
-        total = np.zeros((folds, 1 << BITS), np.int64)
+        total = np.zeros((folds, KINDS, 1 << BITS), np.int64)
         for batch in batches:
             of = batch.column(1).to_numpy()
             for f in range(folds):
                 for part in portions(batch.column(0).filter(pa.array(of == f)).to_pylist()):
-                    for h in grams(part)[0]:
-                        total[f] += np.bincount(h, minlength=1 << BITS)
-        fold, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[fold, at])], ["fold", "gram", "n"])
+                    for kind, (h, _) in enumerate(grams(part)):
+                        total[f, kind] += np.bincount(h, minlength=1 << BITS)
+        fold, kind, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in (fold, kind, at)], pa.array(total[fold, kind, at])], ["fold", "kind", "gram", "n"])
+        released()
 
-    out = np.zeros((folds, 1 << BITS))
+    out = np.zeros((folds, KINDS, 1 << BITS))
     rows = docs.select("text", "fold" if folds > 1 else F.lit(0).alias("fold"))
-    for r in rows.mapInArrow(count, "fold int, gram int, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n")).collect():
-        out[r["fold"], r["gram"]] = r["n"]
+    # At most folds x KINDS x 2^BITS numbers, whatever the corpus.
+    for r in rows.mapInArrow(count, "fold int, kind int, gram int, n long").groupBy("fold", "kind", "gram").agg(F.sum("n").alias("n")).collect():
+        out[r["fold"], r["kind"], r["gram"]] = r["n"]
     return out
 
 
 def scorer(ratio):
-    """texts -> (n-grams, mean log ratio) of each."""
+    """texts -> (number of n-grams, sum over kinds of the mean log ratio) of each."""
 
     def score(texts):
         import numpy as np
@@ -112,14 +130,13 @@ def scorer(ratio):
         sizes, means = [], []
         for part in portions(texts):
             total, n = np.zeros(len(part)), np.zeros(len(part), np.int64)
-            hashes, counts = grams(part)
-            for h, c in zip(hashes, [c for c in counts if c.any()], strict=False):
-                sums = np.concatenate([[0], np.cumsum(ratio[h])])
+            for of_kind, (h, c) in zip(ratio, grams(part), strict=True):
+                sums = np.concatenate([[0], np.cumsum(of_kind[h])])
                 ends = np.cumsum(c)
-                total += sums[ends] - sums[ends - c]
+                total += (sums[ends] - sums[ends - c]) / np.maximum(c, 1)
                 n += c
             sizes.append(n)
-            means.append(np.where(n > 0, total / np.maximum(n, 1), 0.0))
+            means.append(total)
         return np.concatenate(sizes) if sizes else np.zeros(0, np.int64), np.concatenate(means) if means else np.zeros(0)
 
     return score
@@ -167,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     t = parts.sum(axis=0)
     if not t.sum():
         return None
-    share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * len(x))
+    share = lambda x: (x + SMOOTHING) / (x + SMOOTHING).sum(axis=-1, keepdims=True)
     ratio = lambda x: np.log(share(x)) - np.log(share(raw))
     return ratio(t), [ratio(t - p) if (t - p).any() else None for p in parts], target
 
@@ -225,15 +242,16 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     _, least, score = classify(docs, labels)
     if least is None:
         return docs
-    rows = docs.withColumn("_noise", noise())
-    at = docs.columns.index("text")
+    # The row goes as one struct, beside what the decision needs: no names clash.
+    rows = docs.select(row_struct(docs), F.col("text").alias("t"), noise().alias("noise"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            _, mean = score(batch.column(at).to_pylist())
-            key = SHARPNESS * mean + batch.column(batch.num_columns - 1).to_numpy()
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(key >= least))
+            _, mean = score(batch.column(1).to_pylist())
+            key = SHARPNESS * mean + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(key >= least))], ["row"])
+        released()
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import dropped, partitions, released, row_struct, small_arrow_batches, stored
+from ledgerspark.llm.words import MULTIPLIER, mixed, word_hashes
 from ledgerspark.operators.cluster import components
 
 WORDS = 5
@@ -64,8 +65,6 @@ HEAVY, HEAVY_COST = 64, 256
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Bits of a sketch for each shingle that linked sets may differ in, at least; a power of two.
 SKETCH_BITS = 8
-#: Fixed value: odd multiplier of word and shingle hashes.
-MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def bands(longest: int = 1 << 40) -> list[int]:
@@ -91,61 +90,16 @@ def scheme(top: int) -> int:
     return need + max(2, need // 8)
 
 
-def mixed(x):
-    """Bijective mixing of uint64 arrays."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def _constants():
-    import numpy as np
-
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += 32
-    return space, mixed(lower + np.uint64(1))
-
-
 def shingle_sets(texts, words: int = WORDS):
-    """(shingles, ends): sorted distinct hashes of each text, one after another.
-
-    All texts' bytes are worked on together: a word's hash is a sum of its bytes'
-    codes times powers of an odd number, found from prefix sums."""
+    """(shingles, ends): sorted distinct hashes of each text, one after another."""
     import numpy as np
 
-    space, codes = _constants()
-    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    text_end = np.cumsum([len(r) + 1 for r in raw])
+    word, _, count = word_hashes(texts)
     with np.errstate(over="ignore"):
-        gap = space[data]
-        inside = ~gap
-        start = np.flatnonzero(inside & np.r_[True, gap[:-1]])
-        end = np.flatnonzero(gap & np.r_[False, inside[:-1]])
-        owner = np.searchsorted(text_end, start, side="right")
-        # Words' hashes: Horner's rule over places counted from the word's start.
-        place = np.arange(len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)])) if len(start) and start[0] == 0 else None
-        if place is None:
-            place = np.zeros(len(data), np.int64)
-            if len(start):
-                place[start[0] :] = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
-        longest = int((end - start).max()) if len(start) else 0
-        power = np.cumprod(np.r_[np.uint64(1), np.full(longest, MULTIPLIER | 1, np.uint64)], dtype=np.uint64)
-        value = codes[data]
-        value[gap] = 0
-        value *= power[np.minimum(place, longest)]
-        sums = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
-        word = mixed((sums[end] - sums[start]) ^ (end - start).astype(np.uint64))
-        count = np.bincount(owner, minlength=len(raw))
         first = np.cumsum(count) - count
         shingles = np.maximum(count - words + 1, (count > 0).astype(np.int64))
         total = int(shingles.sum())
-        of = np.repeat(np.arange(len(raw)), shingles)
+        of = np.repeat(np.arange(len(count)), shingles)
         at = np.arange(total) - np.repeat(np.cumsum(shingles) - shingles, shingles) + first[of]
         h = np.zeros(total, np.uint64)
         padded = np.r_[word, np.zeros(words, np.uint64)]
@@ -158,7 +112,7 @@ def shingle_sets(texts, words: int = WORDS):
     h, of = h[order], of[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if total else np.zeros(0, bool)
     h, of = h[new], of[new]
-    return h, np.cumsum(np.bincount(of, minlength=len(raw)))
+    return h, np.cumsum(np.bincount(of, minlength=len(count)))
 
 
 def digests(h, ends, seed: int = 0):
