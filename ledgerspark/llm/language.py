@@ -9,25 +9,40 @@ Training reads at most ``SAMPLE`` windows of each language (chosen by hash, each
 cut at a place chosen by hash), so its cost is bounded; counts of languages
 cover all rows. It is deterministic.
 
+To reject text of no learned language (``keep_identified``), the network gets one
+more class, learned from noise made of the same windows: their characters shuffled,
+and random printable characters. A fifth of the windows is held out of that fit;
+the bound of the noise class's share is set by them, so that learned languages stay.
+
 Defined cases: null text and text without a letter are ``und`` with score 0;
 rows without language or id are never learned from but are predicted; with no
 labelled row at all every text is ``und``; repeated rows are predicted alike;
 an empty table gives an empty result. Text is all that a prediction sees.
+Further columns clash with nothing. The number of distinct languages is taken to be
+small (``MOST_LANGUAGES``, checked): the fit is bounded by their windows.
 """
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import small_arrow_batches
+from ledgerspark.llm.common import released, row_struct, small_arrow_batches
 
 WINDOW, PAD, EMBED = 256, 3, 8
 WIDTHS, FILTERS = (2, 3, 4), 16
 #: Bound of the fit: windows of a language.
 SAMPLE = 400
+MOST_LANGUAGES = 1000
+#: Characters of the shortest noise: shorter text can't be told from it.
+SHORTEST_NOISE = 24
+#: Share of the noise class that rejects a text, at least.
+REJECT = 0.5
+#: Share of held-out windows of learned languages that the bound lets through, at least; whole texts average many.
+HELD_OUT_KEPT = 0.99
 ROUNDS, RATE, BATCH = 12, 4e-3, 64
 #: Windows convolved together; their patches fit a CPU cache.
 TOGETHER = 32
@@ -132,33 +147,73 @@ def windows_of(raw: bytes):
     return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id"):
-    """(languages, network) from rows with text, language and id; None where there are none."""
-    import numpy as np
-
+def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> list[tuple[str, str]]:
+    """(language, cut) of at most ``SAMPLE`` rows or so of each language, from rows with text, language and id."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    langs = sorted(counts)
+    per = rows.groupBy(F.col(lang).alias("k")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(per) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not per:
+        return []
     # Keep about SAMPLE rows of each language: those whose hash lies below its share.
     point = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(SAMPLE / counts[k])) for k in langs])
+    share = F.coalesce(*[F.when(F.col(lang) == r["k"], F.lit(SAMPLE / r["n"])) for r in per])
     place = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(2)), F.greatest(F.lit(1), F.char_length(text) - WINDOW)).cast("int") + 1
-    chosen = rows.where(point < share).select(lang, F.col(text).substr(place, F.lit(WINDOW)).alias("cut"), point.alias("point"), F.xxhash64(text).alias("h"))
-    sample = chosen.orderBy("point", "h").limit(2 * SAMPLE * len(langs)).collect()  # bounded: windows, not texts
-    sample = [r for r in sample if has_letter(r["cut"])]
+    chosen = rows.where(point < share).select(F.col(lang).alias("k"), F.col(text).substr(place, F.lit(WINDOW)).alias("cut"), point.alias("point"), F.xxhash64(text).alias("h"))
+    found = chosen.orderBy("point", "h").limit(2 * SAMPLE * len(per)).collect()  # bounded: windows, not texts
+    return [(r["k"], r["cut"]) for r in found if has_letter(r["cut"])]
+
+
+def noise_of(cuts: list[str], seed: int = 13) -> list[str]:
+    """Texts of no language: the cuts' characters shuffled, and as many random printable ones."""
+    rng, out = random.Random(seed), []
+    printable = [chr(c) for c in range(33, 127)] + [" "] * 12
+    for cut in cuts:
+        if len(cut) >= SHORTEST_NOISE:
+            out.append("".join(rng.sample(cut, len(cut))))
+            out.append("".join(rng.choice(printable) for _ in cut))
+    return out
+
+
+def first_window(text: str):
+    return windows_of(text.encode("utf-8", "replace")[:WINDOW])
+
+
+def train(labelled: DataFrame, reject: bool = False):
+    """(languages, network, bound) from rows with text, language and id; None where there are none.
+
+    With ``reject`` the network has one more class, of noise, and bound is the
+    share of it from which a text is rejected."""
+    import numpy as np
+
+    sample = sampled(labelled)
     if not sample:
         return None
-    windows = np.concatenate([windows_of(r["cut"].encode("utf-8", "replace")[:WINDOW]) for r in sample])
-    net = Network(len(langs))
-    net.fit(windows, np.array([langs.index(r[lang]) for r in sample]))
-    return langs, net
+    langs = sorted({k for k, _ in sample})
+    held = [r for i, r in enumerate(sample) if i % 5 == 4] if reject and len(sample) >= 10 else []
+    fit = [r for i, r in enumerate(sample) if not held or i % 5 != 4]
+    classes = [langs.index(k) for k, _ in fit]
+    texts = [cut for _, cut in fit]
+    if reject:
+        # Short cuts too, so that short text of a language isn't taken for noise.
+        rng = random.Random(17)
+        short = [(k, cut[: rng.randint(3, 60)]) for k, cut in fit[::2]]
+        short = [(k, cut) for k, cut in short if has_letter(cut)]
+        noise = noise_of(texts[::2])
+        classes += [langs.index(k) for k, _ in short] + [len(langs)] * len(noise)
+        texts += [cut for _, cut in short] + noise
+    net = Network(len(langs) + reject)
+    net.fit(np.concatenate([first_window(t) for t in texts]), np.array(classes))
+    bound = REJECT
+    if held:
+        shares = net.probabilities(np.concatenate([first_window(cut) for _, cut in held]))[:, -1]
+        bound = max(bound, float(np.quantile(shares, HELD_OUT_KEPT)))
+    return langs, net, bound if reject else None
 
 
 def predictor(model):
     """texts -> (languages, scores), for use on executors."""
-    langs, net = model if model else ([], None)
+    langs, net, bound = model if model else ([], None, None)
 
     def predict(texts):
         import numpy as np
@@ -181,7 +236,11 @@ def predictor(model):
             total = np.add.reduceat(p, starts, axis=0)
             total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
             for i, q in zip(at[a:b], total, strict=True):
-                names[i], scores[i] = langs[int(q.argmax())], float(q.max())
+                if bound is not None and q[-1] > bound:
+                    scores[i] = float(q[-1])
+                else:
+                    q = q[: len(langs)]
+                    names[i], scores[i] = langs[int(q.argmax())], float(q.max())
             a = b
         return names, scores
 
@@ -189,20 +248,21 @@ def predictor(model):
 
 
 def identify(docs: DataFrame, model, *carried) -> DataFrame:
-    """Carried columns (none may be named lang_pred or score), lang_pred, score."""
+    """Carried columns, lang_pred, score."""
     small_arrow_batches(docs.sparkSession)
     predict = predictor(model)
-    rows = docs.select(*carried, F.col("text").alias("_text"))
+    rows = docs.select(F.struct(*carried).alias("row"), F.col("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            names, scores = predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            names, scores = predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+        released()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
 def held_out(id: str = "doc_id"):
@@ -215,19 +275,21 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs, model, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows whose language is identified with at least that score; columns as they are."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows whose language is identified; columns as they are.
+
+    Rows without text or letters go, and rows whose noise share is above the bound.
+    Without any row to learn from, every row goes."""
     small_arrow_batches(docs.sparkSession)
-    predict = predictor(train(docs))
-    at = docs.columns.index("text")
+    predict = predictor(train(docs, reject=True))
+    rows = docs.select(row_struct(docs), F.col("text").alias("t"))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            names, scores = predict(batch.column(at).to_pylist())
-            keep = (np.array(names) != "und") & (scores >= least)
-            yield batch.filter(pa.array(keep))
+            names, _ = predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([n != "und" for n in names], pa.bool_()))], ["row"])
+        released()
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
