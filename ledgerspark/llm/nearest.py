@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import partitions
 
-QUERY_GROUP = 4096
-#: Rows of a candidate group: at least and at most.
-CANDIDATE_GROUP = (1024, 65_536)
-TILE = 4096
-PAIRS = 32_768
+#: Bytes of the vectors (as doubles) of a query group and of a candidate group, at most; rows of the latter, at least.
+QUERY_BYTES, CANDIDATE_BYTES, LEAST_ROWS = 16 << 20, 32 << 20, 1024
+QUERY_ROWS = 4096
+#: Products of a tile; a cell holds a few tables of so many numbers at once.
+TILE_PAIRS = 1 << 20
+#: Bytes of vectors that are recomputed together.
+PAIR_BYTES = 8 << 20
 
 
 def valid(vector: str):
@@ -71,8 +73,9 @@ def cell_best(qid, q, cid, c, k: int) -> list[list[tuple[float, int]]]:
     # Sums of int8 products are exact in float32 below 2^24.
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     qk = q8.astype(kind)
-    for a in range(0, len(cid), TILE):
-        part, ids = c[a : a + TILE], cid[a : a + TILE]
+    tile, pairs = max(k, TILE_PAIRS // len(qid)), max(1, PAIR_BYTES // (8 * q.shape[1]))
+    for a in range(0, len(cid), tile):
+        part, ids = c[a : a + tile], cid[a : a + tile]
         c8, cs, ce = quantised(part)
         near = (qk @ c8.astype(kind).T) * qs[:, None] * cs[None, :]
         bound = qe[:, None] + (1 + qe[:, None]) * ce[None, :] + 1e-6
@@ -89,7 +92,7 @@ def cell_best(qid, q, cid, c, k: int) -> list[list[tuple[float, int]]]:
         rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
         if not len(rows):
             continue
-        score = np.concatenate([cosines(q[rows[i : i + PAIRS]], part[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)])
+        score = np.concatenate([cosines(q[rows[i : i + pairs]], part[cols[i : i + pairs]]) for i in range(0, len(rows), pairs)])
         order = np.lexsort((ids[cols], -score, rows))
         rows, cols, score = rows[order], cols[order], score[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
@@ -114,10 +117,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector
     rows = vectors.where(F.col(id).isNotNull() & valid(vector)).select(
         F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
-    n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
-    least, most = CANDIDATE_GROUP
-    groups = max(1, -(-n // min(most, max(least, n // (4 * partitions(spark))))))
-    query_groups = max(1, -(-nq // QUERY_GROUP))
+    n, nq, dim = rows.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(1, CANDIDATE_BYTES // (8 * dim))
+    groups = max(1, -(-n // min(most, max(LEAST_ROWS, n // (4 * partitions(spark))))))
+    query_groups = max(1, -(-nq // max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * dim)))))
     side = F.pmod(F.xxhash64("id"), F.lit(query_groups)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
