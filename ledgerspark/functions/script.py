@@ -1,8 +1,9 @@
 """Output-script classification: a Catalyst fast path and an Arrow slow path.
 
 The fast path is a CASE over script length and fixed bytes; it covers the
-templates that nearly all outputs follow. The rest is classified once per
-distinct (script, height class, time class) in a UDF and joined back.
+templates that nearly all outputs follow. The rest goes to a UDF, which sees
+nulls in place of all other rows and classifies each distinct (script, height
+class, time class) of a batch once: one pass, no shuffle.
 
 Profiles: ``reference`` takes the 23-byte script-hash template as a hash
 challenge; ``standard`` takes it as PayToScriptHash."""
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.opcodes import CLTV_HEIGHT, P2SH_TIME, SEGWIT_TIME, decode, op_name
+from ledgerspark.shared import fresh
 
 #: kind, hash or data payload, challenge type, required signatures, pushes, would_abort
 SCHEMA = "struct<kind:string,payload:binary,challenge:string,required:int,pushes:array<binary>,would_abort:boolean>"
@@ -37,6 +39,12 @@ def is_pubkey(data: bytes) -> bool:
     return (len(data) == 33 and data[0] in (2, 3)) or (len(data) == 65 and data[0] == 4)
 
 
+def pubkey_ok(col: Column) -> Column:
+    """``is_pubkey`` as a column."""
+    head, size = F.hex(F.substring(col, 1, 1)), F.octet_length(col)
+    return ((size == 33) & head.isin("02", "03")) | ((size == 65) & (head == "04"))
+
+
 def truthy(data: bytes) -> bool:
     """Any bit set, but for a lone sign bit in the first byte."""
     return bool(data) and (data[0] not in (0, 0x80) or any(data[1:]))
@@ -156,8 +164,8 @@ def fast(script: Column, timestamp: Column, profile: str = "reference"):
         skip = len(head) // 2
         cases.append(((size == n) & text.startswith(head.upper()) & text.endswith(tail.upper()), kind, cut(skip, n - skip - len(tail) // 2), challenge))
     cases.append(((size == 34) & text.startswith("0020") & segwit, "PayToWitnessScriptHash", cut(2, 32), None))
-    cases.append(((size == 35) & text.rlike("^210[23].*AC$"), "PayToPubkey", cut(1, 33), None))
-    cases.append(((size == 67) & text.rlike("^4104.*AC$"), "PayToPubkey", cut(1, 65), None))
+    for n in (33, 65):
+        cases.append(((size == n + 2) & text.startswith(f"{n:02X}") & text.endswith("AC") & pubkey_ok(F.substring(script, 2, n)), "PayToPubkey", cut(1, n), None))
     cases.append(((size > 2) & text.startswith("6A") & (F.conv(F.substring(text, 3, 2), 16, 10).cast("int") + 2 == size), "DataOutput", cut(2, 1 << 20), None))
     # The rule is found once; kind, payload and challenge follow from its number.
     rule = F.coalesce(*[F.when(c, i) for i, (c, *_) in enumerate(cases)])
@@ -179,33 +187,37 @@ def _slow(profile: str):
     def run(scripts, heights, times):
         import pyarrow as pa
 
-        rows = [None if s is None else classify(s, h, t, profile) for s, h, t in zip(scripts.to_pylist(), heights.to_pylist(), times.to_pylist(), strict=True)]
+        known, rows = {}, []
+        for script, height, time in zip(scripts.to_pylist(), heights.to_pylist(), times.to_pylist(), strict=True):
+            if script is None:
+                rows.append(None)
+                continue
+            # Only whether the activation heights and times have come makes a difference.
+            key = (script, height >= CLTV_HEIGHT, time >= P2SH_TIME, time >= SEGWIT_TIME)
+            if key not in known:
+                known[key] = classify(script, height, time, profile)
+            rows.append(known[key])
         fields = [("kind", pa.string()), ("payload", pa.binary()), ("challenge", pa.string()), ("required", pa.int32()), ("pushes", pa.list_(pa.binary())), ("would_abort", pa.bool_())]
         return pa.array(rows, pa.struct(fields))
 
     import pyarrow as pa
 
     run.__annotations__ = {"scripts": pa.Array, "heights": pa.Array, "times": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, SCHEMA)
+    # Said to be nondeterministic so that filters on its result don't run it a second time.
+    return F.arrow_udf(run, SCHEMA).asNondeterministic()
 
 
 def with_class(outputs: DataFrame, profile: str = "reference") -> DataFrame:
     """Add column ``c`` (``SCHEMA``) to outputs with script, height, timestamp.
 
-    Fast rows and slow rows are split, so Python sees only what no template
-    decides, and of that each distinct script once."""
+    A null script has a null kind. Other columns may have any name but ``c``."""
     rule, cases = fast(F.col("script"), F.col("timestamp"), profile)
-    marked = outputs.withColumn("_rule", rule)
-    late = F.col("height") >= CLTV_HEIGHT
-    era = F.expr(f"CASE WHEN timestamp >= {SEGWIT_TIME} THEN 2 WHEN timestamp >= {P2SH_TIME} THEN 1 ELSE 0 END")
-    slow = marked.where(F.col("_rule").isNull() & F.col("script").isNotNull()).drop("_rule").withColumns({"_late": late, "_era": era})
-    distinct = slow.select("script", "_late", "_era").distinct()
-    height = F.when(F.col("_late"), CLTV_HEIGHT).otherwise(0)
-    time = F.element_at(F.array(F.lit(0), F.lit(P2SH_TIME), F.lit(SEGWIT_TIME)), F.col("_era") + 1)
-    classed = distinct.withColumn("c", _slow(profile)("script", height.cast("long"), time.cast("long")))
-    joined = slow.join(classed, ["script", "_late", "_era"]).select(*outputs.columns, "c")
-    quick = marked.where(F.col("_rule").isNotNull() | F.col("script").isNull()).withColumn("c", _made(F.col("script"), F.col("_rule"), cases)).drop("_rule")
-    return quick.unionByName(joined)
+    at, late = fresh("_rule", outputs), fresh("_late", outputs)
+    odd = lambda c: F.when(F.col(at).isNull(), F.col(c))
+    marked = outputs.withColumn(at, rule)
+    marked = marked.withColumn(late, _slow(profile)(odd("script"), odd("height").cast("long"), odd("timestamp").cast("long")))
+    quick = _made(F.col("script"), F.col(at), cases)
+    return marked.select(*[F.col(f"`{c}`") for c in outputs.columns], F.coalesce(F.col(late), quick).alias("c"))
 
 
 def opcodes(script: Column, height: Column) -> Column:

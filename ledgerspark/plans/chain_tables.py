@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.chain import resolve
+from ledgerspark.shared import stored
 from ledgerspark.sources import blk, transactions
 
+log = logging.getLogger("ledgerspark")
+#: Blocks whose (hash, height) may be broadcast: 50 MB or so.
+MOST_BROADCAST = 1_000_000
+
 
 def load(spark: SparkSession, folder: str, profile: str = "reference", mode: str = "FAILFAST") -> dict[str, DataFrame]:
-    """blocks, txs, inputs, outputs of the main chain."""
+    """blocks, txs, inputs, outputs of the main chain.
+
+    Headers are read, without payloads, and resolved first. Payloads are read once
+    more and parsed once: parsed transactions are written to the shared folder, and
+    all tables read that. Payloads meet their heights by broadcast, so raw blocks
+    are not shuffled, unless there are too many blocks for that."""
     frames = blk.read_blocks(spark, folder, mode)
-    headers = blk.headers(frames)
-    main = resolve(headers.drop("raw"), profile)
-    # Both sides are one row a block; joined by hash, not broadcast, as raw blocks are large.
-    blocks = headers.join(main, "block_hash")
-    txs = transactions.transactions(blocks, mode.upper() == "PERMISSIVE")
+    headers = stored(blk.headers(frames).drop("raw"), "headers")
+    main = stored(resolve(headers, profile), "main-chain")
+    report(headers, main)
+    small = F.broadcast(main) if main.count() <= MOST_BROADCAST else main
+    raws = blk.headers(frames).select("file_no", "offset", "block_hash", "timestamp", "raw").join(small, "block_hash")
+    if not headers.groupBy("block_hash").count().where("count > 1").isEmpty():
+        # Blocks that are in the files twice: the first copy counts.
+        first = headers.groupBy("block_hash").agg(F.min(F.struct("file_no", "offset")).alias("at")).select("at.file_no", "at.offset")
+        raws = raws.join(F.broadcast(first) if headers.count() <= MOST_BROADCAST else first, ["file_no", "offset"], "left_semi")
+    txs = stored(transactions.transactions(raws, mode.upper() == "PERMISSIVE"), "transactions")
     count = txs.groupBy("height").agg(F.first("n_tx").alias("n_tx"))
     return {
-        "blocks": blocks.drop("raw").join(count, "height", "left"),
+        "blocks": headers.dropDuplicates(["block_hash"]).join(small, "block_hash").join(count, "height", "left"),
         "txs": txs,
         "inputs": transactions.inputs(txs),
         "outputs": transactions.outputs(txs),
     }
+
+
+def report(headers: DataFrame, main: DataFrame) -> None:
+    """Log a line for each file, and at debug level one for each block of the main chain."""
+    if log.isEnabledFor(logging.INFO):
+        files = headers.join(main, "block_hash", "left").groupBy("file_no").agg(F.count("*").alias("n"), F.count("height").alias("walked"))
+        for r in files.orderBy("file_no").toLocalIterator():
+            log.info("%s: %d blocks, %d on the main chain", blk.FILE_NAME % r["file_no"], r["n"], r["walked"])
+    if log.isEnabledFor(logging.DEBUG):
+        for r in main.orderBy("height").toLocalIterator():
+            log.debug("block %d %s", r["height"], bytes(r["block_hash"])[::-1].hex())

@@ -7,9 +7,15 @@ the tables for Spark and for the oracle."""
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.shared import new_path
+from ledgerspark.sources.blk import write_blocks
+
 TX = """
 SELECT o_orderkey AS txid, CAST(floor(o_orderkey / 50) AS BIGINT) AS height, CAST(o_orderkey % 50 AS INT) AS tx_idx,
        1231006505 + (CAST(floor(o_orderkey / 50) AS BIGINT) * 7919 % 300) * 1000000 AS timestamp
@@ -49,15 +55,103 @@ ORACLE_WITH = f"WITH RECURSIVE tx AS ({TX}), outs AS ({OUTS}), ins AS ({INS})"
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """tx, outs (with script binary) and ins."""
-    for name in ("orders", "lineitem"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    tx = spark.sql(TX)
-    tx.createOrReplaceTempView("tx")
-    outs = spark.sql(OUTS)
-    outs.createOrReplaceTempView("outs")
-    ins = spark.sql(INS)
+    orders, lineitem = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem"))
+    tx = spark.sql(TX.replace("FROM orders", "FROM {orders}"), orders=orders)
+    outs = spark.sql(OUTS.replace("FROM lineitem l JOIN tx t", "FROM {lineitem} l JOIN {tx} t"), lineitem=lineitem, tx=tx)
+    ins = spark.sql(INS.replace("FROM tx t JOIN outs o", "FROM {tx} t JOIN {outs} o"), tx=tx, outs=outs)
     # Scripts are made below the window, so that no plan repeats their expression.
-    line = "SELECT *, l_partkey * 100000 + l_suppkey AS addr, CAST((l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 16 AS INT) AS template FROM lineitem"
-    spark.sql(f"SELECT *, unhex({SCRIPT.format(h=SPARK_HASH)}) AS script FROM ({line})").drop("addr", "template").createOrReplaceTempView("scripted")
-    script = spark.sql(OUTS.replace("FROM lineitem l", ", l.script FROM scripted l"))
+    line = "SELECT *, l_partkey * 100000 + l_suppkey AS addr, CAST((l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 16 AS INT) AS template FROM {lineitem}"
+    scripted = spark.sql(f"SELECT *, unhex({SCRIPT.format(h=SPARK_HASH)}) AS script FROM ({line})", lineitem=lineitem).drop("addr", "template")
+    script = spark.sql(OUTS.replace("FROM lineitem l JOIN tx t", ", l.script FROM {scripted} l JOIN {tx} t"), scripted=scripted, tx=tx)
     return {"tx": tx, "outs": script, "ins": ins}
+
+
+# Block files of the ledger: the same transactions as raw bytes. Every input's script
+# and sequence are fixed, every transaction begins with a coinbase-like input (which
+# spends nothing), every third has witnesses. An input names the SHA-256 of the number
+# of the transaction it spends from.
+COINBASE = "00" * 32 + "ffffffff" + "0151" + "ffffffff"
+WITNESS = "0203aabbcc00"
+
+
+def le_hex(value: str, size: int, spark: bool) -> str:
+    """SQL of ``size`` little-endian bytes of a number, as hex."""
+    if spark:
+        return f"array_join(reverse(regexp_extract_all(lpad(lower(hex({value})), {2 * size}, '0'), '(..)', 1)), '')"
+    return f"array_to_string(list_reverse(regexp_extract_all(lpad(lower(to_hex({value})), {2 * size}, '0'), '..')), '')"
+
+
+def raw_sql(spark: bool) -> dict[str, str]:
+    """SQL of hex: of an input, an output, a whole transaction and without its witness, a block's header."""
+    le = lambda v, n: le_hex(v, n, spark)
+    number = lambda v: f"sha2(CAST({v} AS STRING), 256)" if spark else f"sha256(CAST({v} AS VARCHAR))"
+    cut = f"concat(ins_hex, {le('n_out', 1)}, outs_hex)"
+    many = f"concat({le('n_in', 1)}, {cut})"
+    header = f"concat('01000000', prev, {number('height + 1000000')}, {le('1231006505 + height * 600', 4)}, 'ffff001d', {le('height', 4)})"
+    return {
+        "input": f"concat({number('prev_txid')}, {le('prev_vout', 4)}, '0151', 'ffffffff')",
+        "output": f"concat({le('value', 8)}, {le('octet_length(script)', 1)}, lower(hex(script)))",
+        "core": f"concat('01000000', {many}, '00000000')",
+        "whole": f"CASE WHEN txid % 3 = 0 THEN concat('01000000', '0001', {many}, repeat('{WITNESS}', CAST(n_in AS INT)), '00000000') ELSE concat('01000000', {many}, '00000000') END",
+        "header": header,
+    }
+
+
+DUCK_RAW = raw_sql(False)
+#: outs with scripts, raw transactions and the header chain, for the oracle.
+RAW_WITH = f"""{ORACLE_WITH}, scripted AS (SELECT *, unhex({SCRIPT.format(h=DUCK_HASH)}) AS script FROM outs),
+ in_parts AS (SELECT txid, string_agg({DUCK_RAW['input']}, '' ORDER BY vin) AS h, count(*) AS n FROM ins GROUP BY txid),
+ out_parts AS (SELECT txid, string_agg({DUCK_RAW['output']}, '' ORDER BY vout) AS h, count(*) AS n FROM scripted GROUP BY txid),
+ parts AS (SELECT t.*, concat('{COINBASE}', coalesce(i.h, '')) AS ins_hex, 1 + coalesce(i.n, 0) AS n_in, coalesce(o.h, '') AS outs_hex, coalesce(o.n, 0) AS n_out
+   FROM tx t LEFT JOIN in_parts i ON t.txid = i.txid LEFT JOIN out_parts o ON t.txid = o.txid),
+ raws AS (SELECT *, sha256(unhex(sha256(unhex({DUCK_RAW['core']})))) AS id, sha256(unhex(sha256(unhex({DUCK_RAW['whole']})))) AS wid FROM parts),
+ heads(height, prev, hash) AS (
+   SELECT h, p, sha256(unhex(sha256(unhex(header)))) FROM (SELECT height AS h, prev AS p, {DUCK_RAW['header']} AS header FROM (SELECT CAST(0 AS BIGINT) AS height, repeat('00', 32) AS prev))
+   UNION ALL SELECT h, p, sha256(unhex(sha256(unhex(header)))) FROM (SELECT height AS h, prev AS p, {DUCK_RAW['header']} AS header FROM (SELECT height + 1 AS height, hash AS prev FROM heads WHERE height < (SELECT max(height) FROM tx)))),
+ main AS (SELECT * FROM heads WHERE height < (SELECT max(height) FROM tx))"""
+
+
+def header_rows(n: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(height, header, header of a sibling, hash) of n blocks, each on the one before; a few dozen bytes a block."""
+    out, prev = [], bytes(32)
+    double = lambda x: hashlib.sha256(hashlib.sha256(x).digest()).digest()
+    for height in range(n):
+        root = hashlib.sha256(str(height + 1000000).encode()).digest()
+        make = lambda nonce, root=root, prev=prev, height=height: struct.pack("<I", 1) + prev + root + struct.pack("<I", 1231006505 + height * 600) + bytes.fromhex("ffff001d") + struct.pack("<I", nonce)
+        header = make(height)
+        out.append((height, header, make(height + 5_000_000), double(header)))
+        prev = out[-1][3]
+    return out
+
+
+def raw_blocks(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+    """file_no, offset, raw: the ledger's blocks, 100 heights a file.
+
+    Of each ten blocks the third and fourth change places, and the sixth comes after
+    a sibling without children."""
+    sql = raw_sql(True)
+    joined = lambda df, key, of, name: df.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct(key, F.expr(of).alias("x")))).alias("a")).select("txid", F.array_join(F.col("a.x"), "").alias(f"{name}_hex"), F.size("a").alias(f"n_{name}"))
+    ins = joined(t["ins"], "vin", sql["input"], "ins")
+    outs = joined(t["outs"], "vout", sql["output"], "outs")
+    parts = t["tx"].join(ins, "txid", "left").join(outs, "txid", "left").selectExpr(
+        "txid", "height", "tx_idx", f"concat('{COINBASE}', coalesce(ins_hex, '')) AS ins_hex", "1 + coalesce(n_ins, 0) AS n_in", "coalesce(outs_hex, '') AS outs_hex", "coalesce(n_outs, 0) AS n_out"
+    )
+    txs = parts.select("height", "tx_idx", F.expr(sql["whole"]).alias("x"))
+    # A block has fifty transactions at most.
+    bodies = txs.groupBy("height").agg(F.array_sort(F.collect_list(F.struct("tx_idx", "x"))).alias("a")).select("height", F.concat(F.unhex(F.expr(le_hex("size(a)", 1, True))), F.unhex(F.array_join(F.col("a.x"), ""))).alias("body"))
+    n = t["tx"].agg(F.max("height")).first()[0] + 1
+    heads = spark.createDataFrame(header_rows(n), "height long, header binary, sibling binary, hash binary")
+    blocks = bodies.join(F.broadcast(heads) if n <= 1_000_000 else heads, "height")
+    file_no = F.floor(F.col("height") / 100).cast("int").alias("file_no")
+    place = F.when(F.col("height") % 10 == 2, F.col("height") + 1).when(F.col("height") % 10 == 3, F.col("height") - 1).otherwise(F.col("height")) * 3
+    main = blocks.select(file_no, place.alias("offset"), F.concat("header", "body").alias("raw"))
+    side = blocks.where("height % 10 = 5").select(file_no, (place - 1).alias("offset"), F.concat(F.col("sibling"), F.unhex(F.lit("01" + "01000000" + "01" + COINBASE + "00" + "00000000"))).alias("raw"))
+    zero = blocks.where("height % 10 = 7").select(file_no, (place - 1).alias("offset"), F.lit(None).cast("binary").alias("raw"))
+    return main.unionByName(side).unionByName(zero)
+
+
+def block_files(spark: SparkSession, t: dict[str, DataFrame]) -> str:
+    """Folder with the ledger's block files, written to the shared folder."""
+    folder = new_path(spark, "blk")
+    write_blocks(raw_blocks(spark, t), folder)
+    return folder

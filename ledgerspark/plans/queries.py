@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import codec, script
 from ledgerspark.operators import chain, merkle, utxo
 from ledgerspark.operators.cluster import components
 from ledgerspark.plans import analyses
-from ledgerspark.plans.ledger import DUCK_HASH, KIND_REFERENCE, KIND_STANDARD, ORACLE_WITH, SCRIPT, tables
+from ledgerspark.plans.chain_tables import load
+from ledgerspark.plans.ledger import COINBASE, DUCK_HASH, DUCK_RAW, KIND_REFERENCE, KIND_STANDARD, ORACLE_WITH, RAW_WITH, block_files, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +34,27 @@ def query(sql: str | None = None, ledger: bool = True):
 SPENT = ", spent AS (SELECT i.txid AS by_tx, o.* FROM ins i JOIN outs o ON i.prev_txid = o.txid AND i.prev_vout = o.vout)"
 LEFT = ", unspent AS (SELECT o.* FROM outs o ANTI JOIN ins i ON i.prev_txid = o.txid AND i.prev_vout = o.vout)"
 KINDS = f", classed AS (SELECT *, {KIND_REFERENCE} AS kind, {DUCK_HASH} AS h FROM outs)"
-STARS = """, firsts AS (SELECT by_tx, min(addr) AS m FROM spent GROUP BY by_tx),
+#: Address keys of classified outputs as hex: version byte and payload.
+KEYED = f"""{KINDS}, keyed AS (
+ SELECT *, CASE kind WHEN 'PayToPubkeyHash' THEN '00' || substring(h, 1, 40) WHEN 'PayToScriptHash' THEN '05' || substring(h, 1, 40)
+   WHEN 'PayToWitnessPubkeyHash' THEN 'f0' || substring(h, 1, 40) WHEN 'PayToWitnessScriptHash' THEN 'f0' || h
+   WHEN 'PayToPubkey' THEN CASE template WHEN 5 THEN '0002' || h ELSE '0004' || h || h END END AS key FROM classed)"""
+STARS = f"""{KEYED}, spent AS (
+  SELECT i.txid AS by_tx, o.key AS addr FROM ins i JOIN keyed o ON i.prev_txid = o.txid AND i.prev_vout = o.vout WHERE o.key IS NOT NULL AND o.kind <> 'PayToPubkey'),
+ firsts AS (SELECT by_tx, min(addr) AS m FROM spent GROUP BY by_tx),
  edges AS (SELECT DISTINCT f.m AS a, s.addr AS b FROM spent s JOIN firsts f USING (by_tx) WHERE s.addr <> f.m),
  linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
  reach(a, b) AS (SELECT a, a FROM linked UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a),
  clusters AS (SELECT a AS addr, min(b) AS cluster FROM reach GROUP BY a)"""
+COINS = "CAST(sum(value) // 100000000 AS VARCHAR) || '.' || lpad(CAST(sum(value) % 100000000 AS VARCHAR), 8, '0')"
+
+
+def hexed(col) -> Column:
+    return F.lower(F.hex(col))
+
+
+def _keys(t) -> DataFrame:
+    return t["outs"].select("addr").distinct().withColumn("key", F.unhex(F.sha2(F.col("addr").cast("string"), 256)))
 
 
 @query("SELECT i.txid, i.vin, i.prev_txid, i.prev_vout, o.value, o.addr FROM ins i LEFT JOIN outs o ON i.prev_txid = o.txid AND i.prev_vout = o.vout")
@@ -75,37 +92,83 @@ def coinbase_filter(spark, sf_dir, t):
     return analyses.real_inputs(t["ins"].unionByName(made)).select("txid", "vin", "prev_txid", "prev_vout")
 
 
-@query(f"{SPENT} SELECT by_tx, count(DISTINCT addr) AS n_addresses, min(addr) AS first_address FROM spent GROUP BY by_tx HAVING count(DISTINCT addr) > 1")
+@query(f"{STARS} SELECT by_tx, count(DISTINCT addr) AS n_addresses, min(addr) AS first_address FROM spent GROUP BY by_tx HAVING count(DISTINCT addr) > 1")
 def tx_input_address_sets(spark, sf_dir, t):
-    spent = utxo.resolve(t["ins"], t["outs"], ["addr"])
-    sets = spent.groupBy(F.col("txid").alias("by_tx")).agg(F.collect_set("addr").alias("s")).where(F.size("s") > 1)
-    return sets.select("by_tx", F.size("s").cast("long").alias("n_addresses"), F.array_min("s").alias("first_address"))
+    sets = analyses.input_key_sets(t["ins"], t["outs"])
+    return sets.select(F.col("by").alias("by_tx"), F.col("n_keys").alias("n_addresses"), hexed("first_key").alias("first_address"))
 
 
 def _clusters(t) -> DataFrame:
-    spent = utxo.resolve(t["ins"], t["outs"], ["addr"]).select(F.col("txid").alias("by"), F.col("addr").alias("key"))
-    return components(analyses.cluster_edges(spent)).select(F.col("node").alias("addr"), F.col("component").alias("cluster"))
+    return analyses.cluster_keys(t["ins"], t["outs"])
 
 
-@query(f"{SPENT}{STARS} SELECT addr, cluster FROM clusters")
+@query(f"{STARS} SELECT addr, cluster FROM clusters")
 def cluster_addresses(spark, sf_dir, t):
-    return _clusters(t)
+    return _clusters(t).select(hexed("node").alias("addr"), hexed("component").alias("cluster"))
 
 
-@query(f"{SPENT}{STARS} SELECT cluster, count(*) AS n_addresses FROM clusters GROUP BY cluster")
+@query(f"{STARS} SELECT cluster, count(*) AS n_addresses FROM clusters GROUP BY cluster")
 def cluster_sizes(spark, sf_dir, t):
-    return _clusters(t).groupBy("cluster").agg(F.count("*").alias("n_addresses"))
+    return _clusters(t).groupBy(hexed("component").alias("cluster")).agg(F.count("*").alias("n_addresses"))
 
 
-@query(f"{SPENT}{STARS} SELECT count(*) AS n_addresses, count(DISTINCT cluster) AS n_clusters FROM clusters")
+@query(f"{STARS} SELECT count(*) AS n_addresses, count(DISTINCT cluster) AS n_clusters FROM clusters")
 def cluster_address_count(spark, sf_dir, t):
-    return _clusters(t).agg(F.count("*").alias("n_addresses"), F.countDistinct("cluster").alias("n_clusters"))
+    return _clusters(t).agg(F.count("*").alias("n_addresses"), F.countDistinct("component").alias("n_clusters"))
+
+
+@query(f"{STARS} SELECT cluster, count(*) AS n_addresses FROM clusters GROUP BY cluster ORDER BY n_addresses DESC, cluster LIMIT 10")
+def largest_clusters(spark, sf_dir, t):
+    return analyses.largest_clusters(_clusters(t)).select(hexed("cluster").alias("cluster"), "n_addresses")
+
+
+@query(f"{STARS}, numbered AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS tag FROM (SELECT DISTINCT cluster FROM clusters)) SELECT tag, count(*) AS n_addresses FROM clusters JOIN numbered USING (cluster) GROUP BY tag")
+def cluster_tag_sizes(spark, sf_dir, t):
+    return analyses.cluster_tags(_clusters(t)).groupBy(F.col("tag").cast("long").alias("tag")).agg(F.countDistinct("address").alias("n_addresses"))
+
 
+HELD = f"{KEYED}, held AS (SELECT o.* FROM keyed o ANTI JOIN ins i ON i.prev_txid = o.txid AND i.prev_vout = o.vout WHERE o.key IS NOT NULL)"
 
-@query(f"{LEFT} SELECT addr, CAST(sum(value) // 100000000 AS VARCHAR) || '.' || lpad(CAST(sum(value) % 100000000 AS VARCHAR), 8, '0') AS balance FROM unspent GROUP BY addr HAVING sum(value) <> 0")
+
+@query(f"{HELD} SELECT key, {COINS} AS balance FROM held GROUP BY key HAVING sum(value) <> 0")
 def balances(spark, sf_dir, t):
-    sums = utxo.unspent(t["outs"], t["ins"]).groupBy("addr").agg(F.sum("value").alias("s")).where("s <> 0")
-    return sums.select("addr", codec.coin_text(F.col("s")).alias("balance"))
+    sums = analyses.balance_sums(t["ins"], t["outs"], hashed=False)
+    return sums.select(hexed("key").alias("key"), codec.coin_text(F.col("sum")).alias("balance"))
+
+
+@query(f"{HELD} SELECT key, {COINS} AS balance FROM held GROUP BY key HAVING sum(value) <> 0 ORDER BY sum(value) DESC, key LIMIT 10")
+def richest_addresses(spark, sf_dir, t):
+    return analyses.richest(analyses.balance_sums(t["ins"], t["outs"], hashed=False)).select(hexed("key").alias("key"), "balance")
+
+
+#: Every fifth transaction's outputs are made again, later and with a larger value; some spends come before their output.
+AGAIN = """, made AS (SELECT * FROM outs UNION ALL SELECT * REPLACE (height + 3 AS height, value + 1 AS value) FROM outs WHERE txid % 5 = 0),
+ gone AS (SELECT txid, vin, prev_txid, prev_vout, tx_idx, CASE WHEN prev_txid % 4 = 0 THEN height - 100000 ELSE height END AS height FROM ins),
+ events AS (SELECT txid, vout, height, tx_idx, 1 AS phase, vout AS n, CAST(NULL AS BIGINT) AS by_tx, value FROM made
+  UNION ALL SELECT prev_txid, prev_vout, height, tx_idx, 0, vin, txid, NULL FROM gone),
+ seen AS (SELECT *, lag(phase) OVER w AS before, lead(phase) OVER w AS after FROM events WINDOW w AS (PARTITION BY txid, vout ORDER BY height, tx_idx, phase, n))"""
+
+
+def _again(t):
+    made = t["outs"].unionByName(t["outs"].where("txid % 5 = 0").withColumns({"height": F.col("height") + 3, "value": F.col("value") + 1}))
+    early = F.when(F.col("prev_txid") % 4 == 0, F.col("height") - 100000).otherwise(F.col("height"))
+    return t["ins"].withColumn("height", early), made
+
+
+@query(f"{AGAIN} SELECT txid, vout, height, value FROM seen WHERE phase = 1 AND after IS NULL")
+def utxo_recreation(spark, sf_dir, t):
+    return utxo.timeline(*_again(t), ["value"])[1].select("txid", "vout", "height", "value")
+
+
+@query(f"{AGAIN} SELECT by_tx, txid, vout, coalesce(before, 0) = 1 AS matched FROM seen WHERE phase = 0")
+def spend_before_create(spark, sf_dir, t):
+    return utxo.timeline(*_again(t), ["value"])[0].select(F.col("by").alias("by_tx"), "txid", "vout", "matched")
+
+
+@query(f"""{AGAIN}{KINDS}, kinds AS (SELECT txid, vout, timestamp, kind FROM classed)
+SELECT s.txid, s.vout, s.value FROM seen s JOIN kinds k ON s.txid = k.txid AND s.vout = k.vout WHERE phase = 1 AND after IS NULL AND kind IN ('Donation', 'Unknown') AND value > 0""")
+def donations_recreated(spark, sf_dir, t):
+    return analyses.donations(*_again(t))
 
 
 @query(""", moves AS (
@@ -126,12 +189,7 @@ UNION ALL SELECT height, tx_idx, vout, p, 5, concat(CASE p WHEN 0 THEN '02' ELSE
 
 @query(ADDRESSED)
 def dump_addresses(spark, sf_dir, t):
-    c = script.with_class(t["outs"])
-    kinds = script.ADDRESS_KINDS["addresses"]
-    version = F.coalesce(*[F.when(F.col("c.kind") == k, F.lit(v)) for k, v in kinds.items()])
-    one = c.where(F.col("c.kind").isin(*[k for k in kinds if k != "PayToMultisig"])).select("height", "tx_idx", "vout", F.lit(0).alias("pos"), version.alias("version"), F.lower(F.hex("c.payload")).alias("payload"))
-    many = c.where(F.col("c.kind") == "PayToMultisig").select("height", "tx_idx", "vout", F.posexplode("c.pushes").alias("pos", "push"))
-    return one.unionByName(many.select("height", "tx_idx", "vout", "pos", F.lit(5).alias("version"), F.lower(F.hex("push")).alias("payload")))
+    return analyses.output_addresses(t["outs"]).select("height", "tx_idx", "vout", "pos", "version", hexed("payload").alias("payload"))
 
 
 @query()
@@ -162,13 +220,20 @@ def visited_blocks(spark, sf_dir, t):
 
 @query(f"{KINDS} SELECT c.txid, c.vout, h AS data FROM classed c ANTI JOIN ins i ON i.prev_txid = c.txid AND i.prev_vout = c.vout WHERE kind = 'DataOutput'")
 def data_outputs(spark, sf_dir, t):
-    rows = script.with_class(t["outs"]).where(F.col("c.kind") == "DataOutput")
-    return utxo.unspent(rows, t["ins"]).select("txid", "vout", F.lower(F.hex("c.payload")).alias("data"))
+    return analyses.data_payloads(t["ins"], t["outs"]).select("txid", "vout", hexed("data").alias("data"))
 
 
-@query()
+@query(f"{KINDS} SELECT txid, vout, h AS data FROM classed WHERE kind = 'DataOutput'")
+def data_outputs_all(spark, sf_dir, t):
+    return analyses.data_payloads(t["ins"], t["outs"], include_spent=True).select("txid", "vout", hexed("data").alias("data"))
+
+
+@query(f"{KINDS} SELECT c.txid, c.vout, '\u00e9' || substring(h, 1, 20) || '\ufffd' || substring(h, 21, 9) AS text FROM classed c ANTI JOIN ins i ON i.prev_txid = c.txid AND i.prev_vout = c.vout WHERE kind = 'DataOutput'")
 def data_output_texts(spark, sf_dir, t):
-    return analyses.data_outputs(t["ins"], t["outs"])
+    # Payloads that are text: a two-byte letter, hex digits, and one byte that is no UTF-8.
+    digits = F.sha2(F.col("addr").cast("string"), 256)
+    text = F.concat(F.unhex(F.lit("6a20c3a9")), F.encode(F.substring(digits, 1, 20), "utf-8"), F.unhex(F.lit("ff")), F.encode(F.substring(digits, 21, 9), "utf-8"))
+    return analyses.data_outputs(t["ins"], t["outs"].withColumn("script", F.when(F.col("template") == 6, text).otherwise(F.col("script"))))
 
 
 @query(f"{KINDS} SELECT c.txid, c.vout, c.value FROM classed c ANTI JOIN ins i ON i.prev_txid = c.txid AND i.prev_vout = c.vout WHERE kind IN ('Donation', 'Unknown') AND value > 0")
@@ -198,9 +263,7 @@ FROM (SELECT template, unhex(CASE template WHEN 5 THEN '02' || h ELSE '04' || h
 def pubkey_validity(spark, sf_dir, t):
     key = F.expr("CASE template WHEN 5 THEN substring(script, 2, 33) ELSE substring(script, 2, 65) END")
     rows = t["outs"].where("template IN (5, 15)").select("template", key.alias("k"))
-    head, size = F.hex(F.substring("k", 1, 1)), F.octet_length("k")
-    valid = ((size == 33) & head.isin("02", "03")) | ((size == 65) & (head == "04"))
-    return rows.groupBy("template").agg(F.count("*").alias("n"), F.sum(F.when(valid, 1).otherwise(0)).alias("n_valid"))
+    return rows.groupBy("template").agg(F.count("*").alias("n"), F.sum(F.when(script.pubkey_ok(F.col("k")), 1).otherwise(0)).alias("n_valid"))
 
 
 @query("SELECT o_orderkey, sha256(unhex(sha256(CAST(o_orderkey AS VARCHAR)))) AS hash FROM orders", ledger=False)
@@ -216,10 +279,6 @@ def hash_pretty(spark, sf_dir, t):
     return rows.withColumn("back", F.lower(F.hex(codec.hash_from_pretty(F.col("pretty")))))
 
 
-def _keys(t) -> DataFrame:
-    return t["outs"].select("addr").distinct().withColumn("key", F.unhex(F.sha2(F.col("addr").cast("string"), 256)))
-
-
 @query()
 def hash160(spark, sf_dir, t):
     return _keys(t).select("addr", codec.hash160_pretty(codec.hash160(F.col("key"))).alias("hash160"))
@@ -230,17 +289,6 @@ def base58check_address(spark, sf_dir, t):
     return _keys(t).select("addr", codec.base58check(F.concat(F.lit(b"\x00"), codec.hash160(F.col("key")))).alias("address"))
 
 
-@query()
-def bech32_address(spark, sf_dir, t):
-    return _keys(t).select("addr", codec.bech32(F.substring("key", 1, 20)).alias("address"))
-
-
-@query()
-def opcode_counts(spark, sf_dir, t):
-    rows = t["outs"].select(script.opcodes(F.col("script"), F.col("height")).alias("ops"))
-    return rows.select(F.explode("ops.op").alias("op")).groupBy("op").agg(F.count("*").alias("n"))
-
-
 def _merkle_sql(levels: int = 6) -> str:
     """Levels of at most 2^levels leaves, as one table each."""
     node = "sha256(unhex(concat(l.h, coalesce(r.h, l.h))))"
@@ -249,24 +297,42 @@ def _merkle_sql(levels: int = 6) -> str:
         out += f""", m{i + 1} AS (SELECT l.height, l.p // 2 AS p, CASE WHEN c.n = 1 THEN l.h ELSE sha256(unhex({node})) END AS h
  FROM m{i} l JOIN c{i} c ON l.height = c.height LEFT JOIN m{i} r ON r.height = l.height AND r.p = l.p + 1 WHERE l.p % 2 = 0),
  c{i + 1} AS (SELECT height, count(*) AS n FROM m{i + 1} GROUP BY height)"""
-    return out + f" SELECT height, h AS root FROM m{levels}"
+    return out + f", roots AS (SELECT height, h AS root FROM m{levels})"
 
 
-@query(_merkle_sql())
+@query(f"{_merkle_sql()} SELECT height, root FROM roots")
 def merkle_roots(spark, sf_dir, t):
     leaf = codec.dsha256(F.col("txid").cast("string").cast("binary"))
     made = merkle.roots(t["tx"].select("height", "tx_idx", leaf.alias("leaf")), "leaf")
     return made.select("height", F.lower(F.hex("root")).alias("root"))
 
 
-def _headers(t) -> DataFrame:
-    """A chain of one block per height, and after each tenth a sibling without children."""
+@query(f"{_merkle_sql()} SELECT height, root, height % 7 <> 0 AS ok FROM roots")
+def merkle_check(spark, sf_dir, t):
+    leaf = codec.dsha256(F.col("txid").cast("string").cast("binary"))
+    txs = t["tx"].select("height", "tx_idx", leaf.alias("wtxid"), F.lit(bytes(32)).alias("txid"))
+    # Headers hold the right root, but for each seventh.
+    said = merkle.roots(txs).select("height", F.when(F.col("height") % 7 != 0, F.col("root")).otherwise(F.lit(bytes(32))).alias("merkle_root"))
+    return merkle.check(said, txs).select("height", hexed("root").alias("root"), "ok")
+
+
+@query(f"{_merkle_sql()} SELECT height, root, true AS ok FROM roots")
+def merkle_check_standard(spark, sf_dir, t):
+    leaf = codec.dsha256(F.col("txid").cast("string").cast("binary"))
+    txs = t["tx"].select("height", "tx_idx", leaf.alias("txid"), F.lit(bytes(32)).alias("wtxid"))
+    return merkle.check(merkle.roots(txs, "txid").withColumnRenamed("root", "merkle_root"), txs, "standard").select("height", hexed("root").alias("root"), "ok")
+
+
+def _headers(t, offset=None, side=1) -> DataFrame:
+    """A chain of one block per height, and beside each tenth a sibling without children.
+
+    offset: a block's place by its height; side: the sibling's place after (or before) its rival."""
     name = lambda tag, n: F.unhex(F.sha2(F.concat(F.lit(tag), n.cast("string")), 256))
     h = F.col("height")
     blocks = t["tx"].select("height").distinct()
     prev = F.when(h == 0, F.lit(bytes(32))).otherwise(name("b", h - 1))
-    main = blocks.select(F.floor(h / 100).cast("int").alias("file_no"), (h * 2).alias("offset"), prev.alias("prev_hash"), name("b", h).alias("block_hash"), F.lit(False).alias("trailing_bytes"), "height")
-    side = blocks.where("height % 10 = 5").select(F.floor(h / 100).cast("int").alias("file_no"), (h * 2 + 1).alias("offset"), prev.alias("prev_hash"), name("o", h).alias("block_hash"), F.lit(False).alias("trailing_bytes"), "height")
+    main = blocks.select(F.floor(h / 100).cast("int").alias("file_no"), (h * 2 if offset is None else offset(h)).alias("offset"), prev.alias("prev_hash"), name("b", h).alias("block_hash"), F.lit(False).alias("trailing_bytes"), "height")
+    side = blocks.where("height % 10 = 5").select(F.floor(h / 100).cast("int").alias("file_no"), (h * 2 + side).alias("offset"), prev.alias("prev_hash"), name("o", h).alias("block_hash"), F.lit(False).alias("trailing_bytes"), "height")
     return main.unionByName(side)
 
 
@@ -280,6 +346,97 @@ def fork_resolution(spark, sf_dir, t):
     return chain.resolve(_headers(t).drop("height")).select("height", F.lower(F.hex("block_hash")).alias("hash"))
 
 
+@query("SELECT DISTINCT height, sha256('b' || height) AS hash FROM tx WHERE height < (SELECT max(height) FROM tx)")
+def fork_second_wins(spark, sf_dir, t):
+    return chain.resolve(_headers(t, side=-1).drop("height")).select("height", hexed("block_hash").alias("hash"))
+
+
+@query("SELECT DISTINCT height, sha256('b' || height) AS hash FROM tx WHERE height < (SELECT max(height) - max(height) % 2 FROM tx)")
+def out_of_order_blocks(spark, sf_dir, t):
+    # Of each two blocks the later comes first; the last pair's successor never turns up.
+    pairs = _headers(t, lambda h: 4 * F.floor(h / 2) + F.when(h % 2 == 0, 2).otherwise(0)).where("offset % 2 = 0")
+    return chain.resolve(pairs.drop("height")).select("height", hexed("block_hash").alias("hash"))
+
+
+def blk(sql: str):
+    """Register a query of the tables read back from the ledger's block files."""
+
+    def add(fn):
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(load(spark, block_files(spark, tables(spark, sf_dir))))
+
+        QUERIES[fn.__name__] = call
+        ORACLES[fn.__name__] = f"{RAW_WITH} {sql}"
+        return fn
+
+    return add
+
+
+@blk("SELECT m.height, m.hash, m.prev, 1 AS version, 1231006505 + m.height * 600 AS timestamp, (SELECT count(*) FROM tx WHERE tx.height = m.height) AS n_tx FROM main m")
+def blk_blocks(t):
+    return t["blocks"].select("height", hexed("block_hash").alias("hash"), hexed("prev_hash").alias("prev"), "version", "timestamp", "n_tx")
+
+
+@blk("SELECT r.height, r.tx_idx, r.id AS txid, r.wid AS wtxid, r.n_in, r.n_out, 1 AS version, 0 AS lock_time FROM raws r JOIN main m ON r.height = m.height")
+def blk_transactions(t):
+    return t["txs"].select("height", "tx_idx", hexed("txid").alias("txid"), hexed("wtxid").alias("wtxid"), "n_in", "n_out", "version", "lock_time")
+
+
+@blk(f"""SELECT i.height, i.tx_idx, i.vin + 1 AS vin, {DUCK_HASH.replace('addr', 'i.prev_txid')} AS prev_txid, i.prev_vout, '51' AS script, 4294967295 AS sequence FROM ins i JOIN main m ON i.height = m.height
+UNION ALL SELECT r.height, r.tx_idx, 0, '{'00' * 32}', 4294967295, '51', 4294967295 FROM raws r JOIN main m ON r.height = m.height""")
+def blk_inputs(t):
+    return t["inputs"].select("height", "tx_idx", F.col("vin").cast("long").alias("vin"), hexed("prev_txid").alias("prev_txid"), "prev_vout", hexed("script").alias("script"), "sequence")
+
+
+@blk("SELECT o.height, o.tx_idx, o.vout, o.value, lower(hex(o.script)) AS script, 1231006505 + o.height * 600 AS timestamp FROM scripted o JOIN main m ON o.height = m.height")
+def blk_outputs(t):
+    return t["outputs"].select("height", "tx_idx", F.col("vout").cast("long").alias("vout"), "value", hexed("script").alias("script"), "timestamp")
+
+
+@query(f"{KINDS} SELECT op, sum(n) AS n FROM (SELECT unnest(string_split(CASE template WHEN 0 THEN 'DUP HASH160 PUSH EQUALVERIFY CHECKSIG' WHEN 1 THEN 'HASH160 PUSH EQUAL' WHEN 2 THEN 'HASH160 PUSH EQUAL'"
+       " WHEN 3 THEN 'PUSH PUSH' WHEN 4 THEN 'PUSH PUSH' WHEN 5 THEN 'PUSH CHECKSIG' WHEN 6 THEN 'RETURN PUSH' WHEN 7 THEN 'DUP HASH160 PUSH EQUALVERIFY CHECKSIG' WHEN 8 THEN 'PUSH PUSH PUSH PUSH CHECKMULTISIG'"
+       " WHEN 9 THEN 'SHA256 PUSH EQUAL' WHEN 11 THEN 'PUSH' WHEN 12 THEN 'RETURN' WHEN 13 THEN 'PUSH PUSH' WHEN 14 THEN 'RIPEMD160 PUSH EQUAL' WHEN 15 THEN 'PUSH CHECKSIG' END, ' ')) AS op0, 'OP_' || op0 AS op, 1 AS n FROM outs WHERE template <> 10) GROUP BY op")
+def opcode_counts(spark, sf_dir, t):
+    rows = t["outs"].select(script.opcodes(F.col("script"), F.col("height")).alias("ops"))
+    return rows.select(F.explode("ops.op").alias("op")).groupBy("op").agg(F.count("*").alias("n"))
+
+
+#: BIP-173 over 40 hex digits h: 5-bit groups of version 0 and the program, then the checksum.
+BECH32_SQL = """
+SELECT addr, 'bc1' || array_to_string(list_transform(list_concat(data, list_transform([25, 20, 15, 10, 5, 0], lambda s: (c >> s) & 31)), lambda d: substr('qpzry9x8gf2tvdw0s3jn54khce6mua7l', CAST(d + 1 AS BIGINT), 1)), '') AS address
+FROM (SELECT addr, data, xor(1, list_reduce(list_concat([CAST(1 AS BIGINT), 3, 3, 0, 2, 3], data, [0, 0, 0, 0, 0, 0]), lambda a, v:
+   xor(xor(xor(xor(xor(xor((a & 33554431) << 5, v), CASE WHEN (a >> 25) & 1 = 1 THEN 996825010 ELSE 0 END), CASE WHEN (a >> 26) & 1 = 1 THEN 642813549 ELSE 0 END),
+     CASE WHEN (a >> 27) & 1 = 1 THEN 513874426 ELSE 0 END), CASE WHEN (a >> 28) & 1 = 1 THEN 1027748829 ELSE 0 END), CASE WHEN (a >> 29) & 1 = 1 THEN 705979059 ELSE 0 END))) AS c
+ FROM (SELECT addr, list_concat([CAST(0 AS BIGINT)], list_transform(range(32), lambda i: CAST(('0b' || substr(bits, CAST(5 * i + 1 AS BIGINT), 5)) AS BIGINT))) AS data
+  FROM (SELECT addr, array_to_string(list_transform(string_split(h, ''), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (strpos('0123456789abcdef', x) - 1) + 1 AS BIGINT), 4)), '') AS bits
+   FROM (SELECT DISTINCT addr, substr({hash}, 1, 40) AS h FROM outs))))"""
+
+
+@query(BECH32_SQL.replace("{hash}", DUCK_HASH))
+def bech32_address(spark, sf_dir, t):
+    return _keys(t).select("addr", codec.bech32(F.substring("key", 1, 20)).alias("address"))
+
+
+def _base58_sql() -> str:
+    """Base58Check of a version byte 5 and 20 bytes: 25 bytes as seven limbs of 32 bits, divided by 58^10 four times."""
+    limbs = "(SELECT addr, raw, " + ", ".join(f"CAST(('0x' || substr('000000' || raw, {8 * i + 1}, 8)) AS HUGEINT) AS a{i}" for i in range(7)) + " FROM coded)"
+    digits, big = [], 58**10
+    for k in range(4):
+        # r after each limb, from the top; quotient limbs and the rest.
+        for i in range(7):
+            carry = "0" if i == 0 else f"r{k}_{i - 1}"
+            value = f"({carry} * CAST(4294967296 AS HUGEINT) + {'a' if k == 0 else f'q{k - 1}_'}{i})"
+            limbs = f"(SELECT *, {value} // {big} AS q{k}_{i}, {value} % {big} AS r{k}_{i} FROM {limbs})"
+        digits += [f"substr('{codec.BASE58}', CAST((r{k}_6 // {58**j}) % 58 + 1 AS BIGINT), 1)" for j in range(10)]
+    text = " || ".join(reversed(digits))
+    return f", coded AS (SELECT addr, p || substr(sha256(unhex(sha256(unhex(p)))), 1, 8) AS raw FROM (SELECT DISTINCT addr, '05' || substr({DUCK_HASH}, 1, 40) AS p FROM outs)) SELECT addr, ltrim({text}, '1') AS address FROM {limbs}"
+
+
+@query(_base58_sql())
+def base58check_text(spark, sf_dir, t):
+    return _keys(t).select("addr", codec.base58check(F.concat(F.lit(b"\x05"), F.substring("key", 1, 20))).alias("address"))
+
+
 @query("SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS version, 1231006505 + o_orderkey * 600 AS timestamp, 486604799 - o_orderkey AS bits, 2083236893 + o_orderkey AS nonce FROM orders", ledger=False)
 def header_decode(spark, sf_dir, t):
     from ledgerspark.sources.blk import headers
@@ -294,8 +451,7 @@ def header_decode(spark, sf_dir, t):
 
 @query()
 def cluster_address_texts(spark, sf_dir, t):
-    made = {"ins": t["ins"], "outs": t["outs"]}
-    return analyses.clusters(made["ins"], made["outs"])
+    return analyses.clusters(t["ins"], t["outs"])
 
 
 @query()

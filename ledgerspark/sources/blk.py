@@ -110,6 +110,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlockFiles)
 
 
+#: Bytes of payloads that one Arrow batch holds, about.
+BATCH_BYTES = 16 << 20
+FRAME_COLUMNS = ["file_no", "offset", "raw", "last_in_file", "trailing_bytes", "parse_error"]
+
+
+def framed_batches(batches, number, permissive: bool):
+    """Arrow batches of ``FRAMES`` rows from batches of (path, content), a few blocks at a time.
+
+    number: path -> file number."""
+    import pyarrow as pa
+
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], FRAME_COLUMNS)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            rows, size = [], 0
+            for frame in frames(content, permissive):
+                rows.append((number(path), *frame))
+                size += len(frame[1] or b"")
+                if size >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+
 def read_blocks(spark: SparkSession, folder: str, mode: str = "FAILFAST") -> DataFrame:
     """The same rows through Spark's own file reader, for paths only Spark can open."""
     permissive = mode.upper() == "PERMISSIVE"
@@ -119,17 +146,46 @@ def read_blocks(spark: SparkSession, folder: str, mode: str = "FAILFAST") -> Dat
     if not wanted:
         return spark.createDataFrame([], FRAMES)
 
+    def run(batches):
+        yield from framed_batches(batches, wanted.get, permissive)
+
+    return files.where(F.col("path").isin(list(wanted))).select("path", "content").mapInArrow(run, FRAMES)
+
+
+def write_blocks(blocks: DataFrame, folder: str) -> None:
+    """Write rows (file_no, offset, raw) as block files: per file, framed payloads in the order of offsets.
+
+    A file is one task's work, as in reading; ``folder`` is a path or URI that
+    executors can write to. A file appears under its name when it is whole. Null
+    payloads are zero padding of one byte."""
+    uri = folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
+
     def run(batches):
         import pyarrow as pa
+        import pyarrow.fs
 
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(wanted[path], *f) for f in frames(content, permissive)]
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file_no", "offset", "raw", "last_in_file", "trailing_bytes", "parse_error"])
+        fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        now, out, name = None, None, None
 
-    return files.where(F.col("path").isin(list(wanted))).select("path", "content").mapInArrow(run, FRAMES)
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(name + ".part", name)
+
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if number != now:
+                    close()
+                    now, name = number, f"{base}/{FILE_NAME % number}"
+                    out = fs.open_output_stream(name + ".part")
+                out.write(b"\0" if raw is None else MAGIC + struct.pack("<I", len(raw)) + raw)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])
+
+    n = max(1, blocks.agg(F.countDistinct("file_no")).first()[0])
+    dealt = blocks.select("file_no", "offset", "raw").repartition(n, "file_no").sortWithinPartitions("file_no", "offset")
+    dealt.mapInArrow(run, "n int").write.format("noop").mode("overwrite").save()
 
 
 def le_int(col, start: int, size: int):
