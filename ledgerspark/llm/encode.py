@@ -19,6 +19,12 @@ from ledgerspark.llm.common import worker_cache
 CHUNK_BYTES, RUN_BYTES = 36 << 20, 24 << 20
 #: What an entry takes besides its characters and ids: two objects' headers and its place in the table.
 ENTRY_BYTES = 180
+#: White space, as a class of RE2 patterns.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Where a space is not simply between two words.
+BESIDE_SPACE = f"^ |{WHITE} "
+#: Where a comma or full stop may not be cut off, or a line end not after it.
+MARK_AFTER_MARK = rf"(?:[^\pL\pN]|^)[.,]{WHITE}|\.\n{WHITE}"
 #: Characters of text looked at together.
 BATCH_CHARS = 2_000_000
 
@@ -48,10 +54,7 @@ class Encoder:
         self.old_runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.chunk_bytes = self.run_bytes = 0
-        self.beside_space = re.compile(r"^ |\s |  ").search
         self.before_word = re.compile(r"(?=(?<!\s) (?!\s))").split
-        #: Where a comma or full stop may not be cut off, or a line end not after it.
-        self.marks_before = re.compile(r"(?:\W|_|^)[.,]\s|\.\n\s").search
         #: Letters below U+0100 are stable under NFC (and lower case here, where
         #: the vocabulary has no other); marks without apostrophes and line ends
         #: beside them are pieces of their own.
@@ -144,28 +147,34 @@ class Encoder:
         import pyarrow.compute as pc
 
         out = [np.zeros(0, "<u4")] * len(texts)
-        plain, cut = [], []
-        for i, text in enumerate(texts):
-            if text and self.mark in text and self.special(text):
+        some = [i for i, text in enumerate(texts) if text]
+        array_ = pa.array([texts[i] for i in some], pa.large_string())
+        beside = pc.match_substring_regex(array_, BESIDE_SPACE).to_pylist() if self.space else [False] * len(some)
+        tied = pc.match_substring_regex(array_, MARK_AFTER_MARK).to_pylist()
+        plain, marked, cut = [], [], []
+        for i, odd, kept in zip(some, beside, tied, strict=True):
+            text = texts[i]
+            if self.mark in text and self.special(text):
                 out[i] = np.frombuffer(self._whole([text])[0], "<u4")
-            elif text:
-                (cut if self.space and (self.beside_space(text) or "\0" in text) else plain).append(i)
+            elif odd or (self.space and "\0" in text):
+                cut.append(i)
+            else:
+                plain.append(i)
+                marked.append(self._marked(text, not kept))
         if plain:
-            some = [self._marked(texts[i]) for i in plain]
-            for i, ids in zip(plain, self._pieced(pc.split_pattern(pa.array(some, pa.large_string()), "\0" if self.space else " ")), strict=True):
+            for i, ids in zip(plain, self._pieced(pc.split_pattern(pa.array(marked, pa.large_string()), "\0" if self.space else " ")), strict=True):
                 out[i] = ids
         if cut:
             for i, ids in zip(cut, self._pieced(pa.array([self.before_word(texts[i]) for i in cut], pa.list_(pa.large_string()))), strict=True):
                 out[i] = ids
         return out
 
-    def _marked(self, text: str) -> str:
+    def _marked(self, text: str, alone: bool) -> str:
         """The text with its cuts marked: by NUL, or by spaces for word-end pieces.
 
         A comma or full stop that ends a word is a piece of its own, unless something
-        else than a letter or digit stands before it. For word-end pieces case, and which white space
+        else than a letter or digit stands before it (then ``alone`` is false). For word-end pieces case, and which white space
         parts words, make no difference."""
-        alone = not self.marks_before(text)
         if self.space:
             text = text.replace(" ", "\0 ")
             if alone:
