@@ -135,4 +135,39 @@ SELECT doc_id, size, source_size, target, source,
        CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(start + size, words - source_size) - start) AS BIGINT) AS taken
 FROM placed"""
 
-ORACLES: dict[str, str] = {"op3_source_mix": OP3, "op6_nearest": OP6}
+
+
+def op7_sql() -> str:
+    """Plain search: every word of every text, every phrase and every alignment of a template, without index or IDF."""
+    from ledgerspark.llm.licences import COMMON, PHRASES, TEMPLATES
+
+    rows = lambda values: ", ".join(values)
+    words = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    posts, sizes = [], []
+    for t, (text, key, label) in enumerate(TEMPLATES):
+        listed = text.split()
+        begin = f" {text} ".index(f" {key} ")
+        first = len(text[:begin].split())
+        indexed = [(i, w) for i, w in enumerate(listed) if w not in COMMON]
+        inside = [i for i, _ in indexed if first <= i < first + len(key.split())]
+        posts += [f"('{w}', {t}, {i}, {str(i in inside).lower()})" for i, w in indexed]
+        sizes.append(f"({t}, {len(indexed)}, {len(inside)}, '{label}')")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
+phrases(label, ph) AS (VALUES {rows(f"('{label}', {words(text)})" for text, label in PHRASES)}),
+places AS (SELECT w.rid, w.i, p.label FROM w JOIN phrases p ON w.w = p.ph[1] JOIN d USING (rid) WHERE d.words[w.i + 1 : w.i + len(p.ph)] = p.ph),
+base AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY rid),
+posts(w, t, p, is_key) AS (VALUES {rows(posts)}),
+sizes(t, n_words, n_keys, label) AS (VALUES {rows(sizes)}),
+votes AS (SELECT w.rid, t, w.i - p AS o, count(*) AS n, count(*) FILTER (is_key) AS keys FROM w JOIN posts USING (w) GROUP BY w.rid, t, w.i - p),
+own AS (SELECT rid, list(DISTINCT label) AS labels, max(n / n_words) AS part FROM votes JOIN sizes USING (t) WHERE keys = n_keys AND n >= 0.8 * n_words GROUP BY rid)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+       coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(o.part, 0.0) END AS score
+FROM d LEFT JOIN base b USING (rid) LEFT JOIN own o USING (rid)"""
+
+
+ORACLES: dict[str, str] = {"op3_source_mix": OP3, "op6_nearest": OP6, "op7_licences": op7_sql()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm import fingerprint, language, licences, mixing, nearest, packing, quality, shingle_join, token_files, url_filter
 from ledgerspark.llm.common import new_path
 from ledgerspark.llm.encode import Encoder
-from ledgerspark.llm.queries import OP3, OP6, URL_RULES, vocabulary
+from ledgerspark.llm.queries import OP3, OP6, ORACLES, URL_RULES, vocabulary
 
 VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, n long, rec string, score string, key int, b int, copy int, part int, size int, h int"
@@ -306,6 +306,21 @@ def test_licences(spark, docs, rows, none):
     assert licences.scan_licences(none).count() == 0
 
 
+def test_licences_sql(spark, rows):
+    import duckdb
+
+    rng = random.Random(22)
+    parts = [p for p, _ in licences.PHRASES] + [t for t, *_ in licences.TEMPLATES] + [" ".join(rng.sample(t.split(), len(t.split()))) for t, *_ in licences.TEMPLATES[:4]]
+    made = [(i, t) for i, t, *_ in rows] + [(1000 + i, rng.choice([", ", " \u00e9 ", "\n"]).join(rng.choice([rng.choice(parts), rng.choice(parts).title(), prose(rng, 5)]) for _ in range(rng.randrange(12)))) for i in range(150)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in made])
+    want = c.execute(ORACLES["op7_licences"])
+    names = [x[0] for x in want.description]
+    got = licences.scan_licences(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert collections.Counter(tuple(r[n] for n in names) for r in got) == collections.Counter(want.fetchall())
+
+
 @pytest.mark.parametrize("end", ["\u0085", "\u2028", "\n", "\r\n", ".", " \u0085 ", ""])
 def test_licence_words_at_the_ends(spark, end):
     text = f"{end}a apache license version 2{end}"
