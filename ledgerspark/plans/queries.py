@@ -117,6 +117,20 @@ def cluster_address_count(spark, sf_dir, t):
     return _clusters(t).agg(F.count("*").alias("n_addresses"), F.countDistinct("component").alias("n_clusters"))
 
 
+OWNERS = """, owned AS (SELECT i.txid AS by_tx, o.addr FROM ins i JOIN outs o ON i.prev_txid = o.txid AND i.prev_vout = o.vout),
+ firsts AS (SELECT by_tx, min(addr) AS m FROM owned GROUP BY by_tx),
+ edges AS (SELECT DISTINCT f.m AS a, s.addr AS b FROM owned s JOIN firsts f USING (by_tx) WHERE s.addr <> f.m),
+ linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+ reach(a, b) AS (SELECT a, a FROM linked UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a)"""
+
+
+@query(f"{OWNERS} SELECT a AS addr, min(b) AS cluster FROM reach GROUP BY a")
+def cluster_owners(spark, sf_dir, t):
+    # Outputs of any kind, by the number their script is made from: larger clusters.
+    spent = utxo.resolve(t["ins"], t["outs"], ["addr"]).select(F.col("txid").alias("by"), F.col("addr").alias("key"))
+    return components(analyses.cluster_edges(spent)).select(F.col("node").alias("addr"), F.col("component").alias("cluster"))
+
+
 @query(f"{STARS} SELECT cluster, count(*) AS n_addresses FROM clusters GROUP BY cluster ORDER BY n_addresses DESC, cluster LIMIT 10")
 def largest_clusters(spark, sf_dir, t):
     return analyses.largest_clusters(_clusters(t)).select(hexed("cluster").alias("cluster"), "n_addresses")
