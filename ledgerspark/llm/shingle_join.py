@@ -43,10 +43,12 @@ copies that have one; an empty table gives no rows. Other columns are not used.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import dropped, partitions, released, row_struct, small_arrow_batches, stored
+from ledgerspark.llm.common import dropped, new_path, partitions, released, row_struct, small_arrow_batches, stored
 from ledgerspark.llm.words import MULTIPLIER, mixed, word_hashes
 from ledgerspark.operators.cluster import components
 
@@ -383,18 +385,71 @@ def shared_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def allocate(shared: DataFrame) -> DataFrame:
-    """rec, n, key: the shared keys that each set must look through.
+    """rec, n, key, w, chosen: all shared entries; those chosen the set must look through.
 
     Units are ordered by cost; those that nothing shares are not in ``shared`` and
     cost nothing. A segment's deletions cost no less than the segment, so they
     come after it. A set whose units are worth too little takes all, and the key
-    of such sets among them."""
+    of such sets among them. w is how much the set shares in all. Entries are dealt
+    by set once; a set has no more of them than twice its shingles and segments."""
+    parts = partitions(shared.sparkSession)
     each = shared.withColumns({"scheme": F.shiftrightunsigned("key", 56), "u": F.when(F.col("unit") == 0, F.col("key")).otherwise(F.col("unit").cast("long"))})
-    units = each.groupBy("rec", "scheme", "u").agg(F.sum(F.col("sharing").cast("long")).alias("cost"), F.first("need").alias("need"), F.first("units").alias("units"), F.max("unit").alias("unit"))
+    units = each.repartition(parts, "rec").groupBy("rec", "scheme", "u").agg(
+        F.sum(F.col("sharing").cast("long")).alias("cost"), F.first("need").alias("need"), F.first("units").alias("units"), F.max("unit").alias("unit"), F.first("n").alias("n"), F.collect_set("key").alias("keys")
+    )
     by = Window.partitionBy("rec", "scheme")
-    ranked = units.withColumns({"nr": F.row_number().over(by.orderBy("cost", "unit", "u")), "listed": F.count("*").over(by)})
-    picked = ranked.where("nr <= need - (units - listed)").select("rec", "scheme", "u")
-    return each.join(picked, ["rec", "scheme", "u"]).select("rec", "n", "key").distinct()
+    ranked = units.withColumns({"nr": F.row_number().over(by.orderBy("cost", "unit", "u")), "listed": F.count("*").over(by), "w": F.sum("cost").over(Window.partitionBy("rec"))})
+    return ranked.select("rec", "n", F.explode("keys").alias("key"), "w", F.expr("nr <= need - (units - listed)").alias("chosen"))
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, h (text hash), z: each text compressed, as it travels from here on."""
+    small_arrow_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
+            packed, sizes = [codec.compress(r, asbytes=True) if r else b"" for r in raw], [len(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "h", "size", "z"])
+        released()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, size long, z binary")
+
+
+def unpacked(sizes, packed, most: int = 4_000_000):
+    """(from, to, texts) of runs of packed texts of about so many bytes."""
+    import pyarrow as pa
+
+    codec, at, held, total = pa.Codec("zstd"), 0, [], 0
+    for i, (size, z) in enumerate(zip(sizes.to_pylist(), packed.to_pylist(), strict=True)):
+        held.append(codec.decompress(z, decompressed_size=size, asbytes=True).decode("utf-8", "surrogatepass") if size else "")
+        total += size
+        if total >= most:
+            yield at, i + 1, held
+            at, held, total = i + 1, [], 0
+    if held:
+        yield at, at + len(held), held
+
+
+class Texts:
+    """Packed texts of candidate sets, in a table bucketed by set: joins by set don't move them."""
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        parts = partitions(spark)
+        self.spark, self.path, self.name = spark, new_path(spark, "candidate-texts"), "candidate_texts_" + uuid.uuid4().hex
+        dealt = rows.repartition(parts, "rec").dropDuplicates(["rec"])
+        dealt.write.option("path", self.path).option("compression", "none").bucketBy(parts, "rec").saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.table._stored_path = self.path
+        dropped(self.table)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -406,8 +461,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     small_arrow_batches(spark)
     groups = pairs.groupBy("a").agg(F.expr(f"CAST(count(*) div {GROUP} + 1 AS INT)").alias("groups"))
     right = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
-    right = right.join(texts.select(F.col("rec").alias("b"), "text"), "b").select("a", "g", F.lit(1).alias("kind"), "b", "text")
-    left = groups.join(texts.select(F.col("rec").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    right = right.join(texts.withColumnRenamed("rec", "b"), "b").select("a", "g", F.lit(1).alias("kind"), "b", "size", "z")
+    left = groups.join(texts.withColumnRenamed("rec", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"), F.col("a").alias("b"), "size", "z")
 
     def compare(batches):
         import numpy as np
@@ -416,10 +471,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         mine = np.zeros(0, np.uint64)
         for batch in batches:
             a, kind, b = batch.column(0), batch.column(2).to_numpy(), batch.column(3)
-            texts_ = batch.column(4).to_pylist()
-            linked = np.zeros(len(texts_), bool)
-            for i, j in portions(texts_):
-                h, ends = shingle_sets(texts_[i:j])
+            linked = np.zeros(batch.num_rows, bool)
+            for i, j, some in unpacked(batch.column(4), batch.column(5), 1_000_000):
+                h, ends = shingle_sets(some)
                 starts = np.r_[0, ends[:-1]]
                 for k in range(i, j):
                     own = h[starts[k - i] : ends[k - i]]
@@ -534,31 +588,30 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links hold enough of all links for every component."""
     sets, one, seed = _sets(docs)
     shared = stored(shared_keys(docs, seed), "shared-keys")
-    chosen = stored(allocate(shared), "chosen-keys")
-    members = shared.join(chosen.select("key").distinct(), "key", "left_semi").select("key", "rec", "n")
-    weight = shared.groupBy("rec").agg(F.sum(F.col("sharing").cast("long")).alias("w"))
-    centers = members.join(weight, "rec").groupBy("key").agg(F.max(F.struct("w", "rec")).alias("c")).select("key", F.col("c.rec").alias("center"))
-    centers = stored(centers, "key-centers")
+    entries = stored(allocate(shared), "allocated-keys")
+    dropped(shared)
+    # A key's center is its member that shares most; keys nobody looks through are dropped.
+    centers = entries.groupBy("key").agg(F.max(F.struct("w", "rec")).alias("c"), F.max("chosen").alias("asked")).where("asked").select("key", F.col("c.rec").alias("center"))
     # Keys of one center are looked through together.
-    grouped = lambda df: df.join(centers, "key").select("center", F.shiftrightunsigned("key", 56).cast("int").alias("scheme"), "rec", "n").distinct()
-    looking, belonging = stored(grouped(chosen), "lookers"), stored(grouped(members), "members")
-    dropped(shared, chosen, centers)
+    scheme_ = F.shiftrightunsigned("key", 56).cast("int").alias("scheme")
+    belonging = entries.join(centers, "key").groupBy("center", scheme_, "rec").agg(F.first("n").alias("n"), F.max("chosen").alias("looks"))
+    belonging = stored(belonging, "members")
+    dropped(entries)
+    looking, belonging_ = belonging.where("looks").drop("looks"), belonging.drop("looks")
 
     wanted = one.join(belonging.select("rec").distinct(), "rec", "left_semi").select("rec", F.col("doc_id").alias("d"), F.col("h").alias("k"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("rec", "text").dropDuplicates(["rec"])
-    texts = stored(texts, "candidate-texts", compression="zstd")
+    rows = packed_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("rec", "size", "z")
+    texts = Texts(rows)
 
     def sketch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            for a, b in portions(names):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sketches(*shingle_sets(names[a:b])), pa.binary())], ["rec", "sketch"])
+            for a, b, some in unpacked(batch.column(1), batch.column(2), 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sketches(*shingle_sets(some)), pa.binary())], ["rec", "sketch"])
         released()
 
-    marks = stored(texts.select("rec", "text").mapInArrow(sketch, "rec long, sketch binary"), "sketches")
+    marks = stored(texts.table.select("rec", "size", "z").mapInArrow(sketch, "rec long, sketch binary"), "sketches")
 
     def labelled(found: list[DataFrame] | None):
         """A function that adds comp, a set's component by the links found so far."""
@@ -572,24 +625,25 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def found_by(new: DataFrame, name: str) -> DataFrame:
         pairs = stored(_pairs(new), f"{name}-pairs")
-        out = stored(verified(pairs, texts), name)
+        out = stored(verified(pairs, texts.table), name)
         dropped(pairs)
         return out
 
     # Every set with its nearest center.
     comp = labelled(None)
     others = comp(looking.where("rec <> center"))
-    near = candidates(others, comp(belonging.where("rec = center")), marks)
+    near = candidates(others, comp(belonging_.where("rec = center")), marks)
     best = near.withColumn("nr", F.row_number().over(Window.partitionBy("rec").orderBy("bits", "rec2"))).where("nr = 1")
     found = [found_by(best.select("rec", "rec2"), "found-1")]
     # Every set with its nearest member of each other component; then whatever is left.
     for nearest in (True, False):
         comp = labelled(found)
-        near = candidates(comp(looking), comp(belonging), marks, nearest)
+        near = candidates(comp(looking), comp(belonging_), marks, nearest)
         known = found[0].unionByName(found[-1]) if len(found) > 1 else found[0]
         new = _pairs(near.select("rec", "rec2")).join(known.select("a", "b"), ["a", "b"], "left_anti")
         found.append(found_by(new, f"found-{len(found) + 1}"))
-    dropped(looking, belonging, texts, marks)
+    dropped(belonging, marks)
+    texts.drop()
     every = found[0].unionByName(found[1]).unionByName(found[2])
     return sets, every.where("linked").select("a", "b")
 
