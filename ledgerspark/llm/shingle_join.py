@@ -443,7 +443,7 @@ class Texts:
         parts = partitions(spark)
         self.spark, self.path, self.name = spark, new_path(spark, "candidate-texts"), "candidate_texts_" + uuid.uuid4().hex
         dealt = rows.repartition(parts, "rec").dropDuplicates(["rec"])
-        dealt.write.option("path", self.path).option("compression", "none").bucketBy(parts, "rec").saveAsTable(self.name)
+        dealt.write.format("parquet").option("path", self.path).option("compression", "none").bucketBy(parts, "rec").saveAsTable(self.name)
         self.table = spark.table(self.name)
 
     def drop(self) -> None:
