@@ -65,6 +65,8 @@ GROUP = 256
 HEAVY, HEAVY_COST = 64, 256
 #: Sets, and bytes of their sketches, in a block of a center's members.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Marked rows (two numbers each, 50 MB in all) that are broadcast at most.
+MOST_BROADCAST = 2_000_000
 #: Bits of a sketch for each shingle that linked sets may differ in, at least; a power of two.
 SKETCH_BITS = 8
 
@@ -292,7 +294,7 @@ def shared_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
     set, and the key's part gets one mark (no set, how many it stands for)."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    parts = 4 * partitions(spark)
+    parts = 2 * partitions(spark)
     tops = bands()
 
     def emit(batches):
@@ -675,6 +677,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = of.join(of.groupBy("component").agg(F.min("o").alias("kept")), "component").select("rec", F.col("kept.doc_id").alias("d"), F.col("kept.h").alias("k"))
     rows = sets.where("n > 0").join(named, "rec").groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.max(F.expr("doc_id <=> d AND h <=> k")).alias("kept"))
     marked = stored(rows.where("times > 1 OR NOT kept").select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "kept"), "near-duplicates")
+    # Few marked rows go to all tasks, so that texts stay where they are; beyond that both sides are dealt.
+    if marked.count() <= MOST_BROADCAST:
+        marked = F.broadcast(marked)
     met = docs.select(row_struct(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
     same = F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
     out = met.join(marked, same, "left_anti").select("row.*")
