@@ -123,7 +123,7 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 
 def dealt_ranges(docs: DataFrame) -> DataFrame:
-    """k1, k2, k3, text, b, copy, null_id: rows dealt by ranges of descending ids.
+    """k1, k2, k3, text, b, copy: rows dealt by ranges of descending ids.
 
     copy is 1 for the first row of the next range, which stands after range b's own."""
     import numpy as np
@@ -151,16 +151,18 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))
     sent = F.struct(before.alias("b"), F.lit(1).alias("copy"))
     placed = placed.withColumn("to", F.explode(F.when(first, F.array(own, sent)).otherwise(F.array(own))))
-    # Columns that can't be null get no null filter below the exchange, so that both
-    # readers of these rows have the same exchange and it is made once.
+    # Both readers of these rows use all of their columns, and columns that can't be null
+    # get no null filter below the exchange: so it is the same for both and made once.
     sure = lambda c: F.coalesce(F.col(f"to.{c}"), F.lit(0)).alias(c)
-    return placed.select(*keys, "text", F.col("doc_id").isNull().alias("null_id"), sure("b"), sure("copy")).repartition(tasks, "b")
+    return placed.select(*keys, "text", sure("b"), sure("copy")).repartition(tasks, "b")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     order = Window.partitionBy("b").orderBy("copy", "k1", "k2", "k3")
-    doc_id = F.when(~F.col("null_id"), F.bitwise_not("k1")).alias("doc_id")
+    # Back from the keys: only null ids have both the last k1 and a k2 above all hashes.
+    null_id = (F.col("k1") == F.lit((1 << 63) - 1)) & (F.col("k2") >= F.lit(1 << 61))
+    doc_id = F.when(~null_id, F.bitwise_not("k1")).alias("doc_id")
     rows = dealt_ranges(docs).select("b", "copy", doc_id, "text", F.row_number().over(order).alias("nr"), F.lead("text").over(order).alias("next"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
