@@ -16,8 +16,10 @@ The edit and near_next need each document's successor in descending id order.
 Rows are dealt in ranges of about equal numbers of rows, by (id, text hash, place
 in the input), so a repeated id is split too; the first row of a range is also
 sent to the range before it. Bounds of ranges are the first rows' keys of a
-sampled range partitioning of narrow rows, ``RANGES`` at most; a row finds its
-range by binary search.
+sampled range partitioning of narrow rows; a row finds its range by binary search,
+a loop over the steps in one expression, so the plan (of which the driver keeps
+many copies as text) names the bounds eight times, however many steps there are.
+A range is a task: ``RANGES`` at most, else four for each shuffle partition.
 
 Defined cases: null text is empty; a text without words has the fingerprint of
 all zeros, and two such are alike to degree 1; ids may be any long; rows with
@@ -128,23 +130,21 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
     copy is 1 for the first row of the next range, which stands after range b's own."""
     import numpy as np
 
-    spark = docs.sparkSession
-    tasks = 4 * partitions(spark)
-    ranges = min(RANGES, 4 * tasks)
+    ranges = min(RANGES, 4 * partitions(docs.sparkSession))
     keys = ["k1", "k2", "k3"]
     narrow = ordered(docs).select(*keys).repartitionByRange(ranges, *keys)
     heads = narrow.groupBy(F.spark_partition_id().alias("b")).agg(F.min(F.struct(*keys)).alias("h")).select("h.*")
     heads = sorted(tuple(r) for r in heads.collect())  # one short row for each range
     ends = [F.lit(np.array([h[i] for h in heads] or [0], np.int64)) for i in range(3)]
-    # Binary search for the last head that isn't above the row; one projection a step.
-    placed = ordered(docs).withColumn("b", F.lit(0))
-    step = 1 << max(0, (len(heads) - 1).bit_length())
-    while step > 1:
-        step //= 2
-        at = F.col("b") + step
-        x, y, z = (F.get(e, at) for e in ends)
+    # Binary search for the last head that isn't above the row; past the last one get() is null.
+    steps = [1 << i for i in reversed(range(max(1, (len(heads) - 1).bit_length())))]
+
+    def moved(b, step):
+        x, y, z = (F.get(e, b + step) for e in ends)
         not_above = (x < F.col("k1")) | ((x == F.col("k1")) & ((y < F.col("k2")) | ((y == F.col("k2")) & (z <= F.col("k3")))))
-        placed = placed.withColumn("b", F.when((at < max(1, len(heads))) & not_above, at).otherwise(F.col("b")))
+        return F.when(not_above, b + step).otherwise(b)
+
+    placed = ordered(docs).withColumn("b", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), moved))
     x, y, z = (F.get(e, F.col("b")) for e in ends)
     first = (x == F.col("k1")) & (y == F.col("k2")) & (z == F.col("k3"))
     before = F.pmod(F.col("b") - 1, F.lit(max(1, len(heads))))
@@ -154,7 +154,7 @@ def dealt_ranges(docs: DataFrame) -> DataFrame:
     # Both readers of these rows use all of their columns, and columns that can't be null
     # get no null filter below the exchange: so it is the same for both and made once.
     sure = lambda c: F.coalesce(F.col(f"to.{c}"), F.lit(0)).alias(c)
-    return placed.select(*keys, "text", sure("b"), sure("copy")).repartition(tasks, "b")
+    return placed.select(*keys, "text", sure("b"), sure("copy")).repartitionById(ranges, F.col("b"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

@@ -137,6 +137,21 @@ def test_fingerprint_ranges_are_even(spark):
     assert max(sizes) < 3000 / 10 and sum(sizes) == 3000
 
 
+def test_fingerprint_many_ranges(spark):
+    """With many ranges the plan stays small, for the driver keeps its text, and each range is a task of its own."""
+    docs = spark.range(3000).selectExpr("id * 1000003 AS doc_id", "CAST(id AS STRING) AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        dealt = fingerprint.dealt_ranges(docs)
+        assert len(dealt._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+        of_task = dealt.where("copy = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("b").alias("ranges")).collect()
+        assert sum(r["n"] for r in of_task) == 3000 and len(of_task) > 100 and max(r["ranges"] for r in of_task) == 1
+        assert max(r["n"] for r in of_task) < 3 * 3000 / 128
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def mix_by_source(df, **options):
     """source -> [size, taken, target]."""
     by = collections.defaultdict(lambda: [0, 0, 0])
