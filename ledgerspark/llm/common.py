@@ -28,12 +28,17 @@ def small_arrow_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
-def released() -> None:
-    """Give freed memory of this Python worker back to the system, at a task's end."""
+def released(*kept: str) -> None:
+    """Give freed memory of this Python worker back to the system, at a task's end.
+
+    What other tasks left in the worker's cache goes, but for the names in ``kept``."""
     import ctypes
 
     import pyarrow as pa
 
+    cache = worker_cache()
+    for name in [k for k in cache if not k.startswith("__") and k not in kept]:
+        del cache[name]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -96,7 +96,7 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SI
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
-        released()
+        released(vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

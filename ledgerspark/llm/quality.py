@@ -47,12 +47,23 @@ TAIL = 0.002
 #: Parts of the target rows, each weighed by the model of the others: the fit flatters rows it has seen.
 FOLDS = 10
 SMOOTHING = 0.5
+#: Characters of texts whose n-grams are hashed together.
+TOGETHER = 1 << 18
 #: Odd multipliers of the bytes of an n-gram.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 
 
 def grams(texts):
-    """For each kind: (hashes of all n-grams of all texts, number of n-grams of each text)."""
+    """For each kind: (hashes of all n-grams of all texts, number of n-grams of each text).
+
+    Portions of ``TOGETHER`` characters bound what is held beside the result."""
+    import numpy as np
+
+    found = [_grams(part) for part in portions(texts, TOGETHER)]
+    return [tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[f[kind] for f in found], strict=True)) if found else (np.zeros(0, np.int64),) * 2 for kind in range(KINDS)]
+
+
+def _grams(texts):
     import numpy as np
 
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
@@ -202,6 +213,7 @@ def held_out_tail(target: DataFrame, ratios) -> float | None:
                 if score is not None and (of == f).any():
                     n, mean = score(batch.column(0).filter(pa.array(of == f)).to_pylist())
                     yield pa.RecordBatch.from_arrays([pa.array(SHARPNESS * mean[n > 0])], ["w"])
+        released()
 
     return target.mapInArrow(run, "w double").agg(F.percentile_approx("w", TAIL, 100_000)).first()[0]
 
@@ -221,6 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame):
             n, mean = score(texts) if score else (np.zeros(len(texts), np.int64), np.zeros(len(texts)))
             weight = SHARPNESS * mean
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(weight + batch.column(1).to_numpy())], ["doc_id", "n_grams", "log_weight", "key"])
+        released()
 
     small_arrow_batches(docs.sparkSession)
     scores = stored(rows.mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double"), "quality-scores")

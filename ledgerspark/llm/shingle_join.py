@@ -63,6 +63,8 @@ FEW_SEGMENTS = 16
 GROUP = 256
 #: Sets of one batch of texts that make a key heavy, and what a heavy key counts for a set of the batch.
 HEAVY, HEAVY_COST = 64, 256
+#: Characters of texts, and shingles of sets, whose arrays are made together.
+TOGETHER = 1 << 18
 #: Sets, and bytes of their sketches, in a block of a center's members.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Marked rows (two numbers each, 50 MB in all) that are broadcast at most.
@@ -95,7 +97,20 @@ def scheme(top: int) -> int:
 
 
 def shingle_sets(texts, words: int = WORDS):
-    """(shingles, ends): sorted distinct hashes of each text, one after another."""
+    """(shingles, ends): sorted distinct hashes of each text, one after another.
+
+    Portions of ``TOGETHER`` characters bound what is held beside the result."""
+    import numpy as np
+
+    h, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in portions(texts, TOGETHER):
+        own, ends = _shingle_sets(texts[a:b], words)
+        h.append(own)
+        size.append(np.diff(ends, prepend=0))
+    return np.concatenate(h), np.cumsum(np.concatenate(size))
+
+
+def _shingle_sets(texts, words: int):
     import numpy as np
 
     word, _, count = word_hashes(texts)
@@ -193,7 +208,21 @@ def index_keys(h, ends, tops):
 
     need: units the set must look through under the scheme; units: how many it
     has; unit: 0 for a segment's own key (the key is its unit), else the segment
-    whose deletions the key belongs to. A key's upper byte is its scheme."""
+    whose deletions the key belongs to. A key's upper byte is its scheme. Runs of
+    about ``TOGETHER`` shingles bound what is held beside the result."""
+    import numpy as np
+
+    out, a = [_index_keys(h[:0], ends[:0], tops)], 0
+    while a < len(ends):
+        begin = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + TOGETHER, side="right")))
+        who, *rest = _index_keys(h[begin : ends[b - 1]], ends[a:b] - begin, tops)
+        out.append((who + a, *rest))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _index_keys(h, ends, tops):
     import numpy as np
 
     out = []
@@ -285,6 +314,40 @@ def document_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, n long, rec long, rec2 long")
 
 
+def key_blocks(texts, parts: int, tops, seed: int, seen: set[int]):
+    """Index entries of the texts' sets that are not ``seen``, as one block for each part; None without entries."""
+    import numpy as np
+    import pyarrow as pa
+
+    h, ends = shingle_sets(texts)
+    recs = digests(h, ends, 2 * seed)
+    who, key, need, units, unit = index_keys(h, ends, tops)
+    # A copy of a set that this task has sent adds nothing.
+    fresh = np.array([not (r in seen or seen.add(r)) for r in recs.tolist()], bool)
+    if len(seen) > 200_000:
+        seen.clear()
+    keep = fresh[who] if len(who) else np.zeros(0, bool)
+    who, key, need, units, unit = who[keep], key[keep], need[keep], units[keep], unit[keep]
+    if not len(who):
+        return None
+    names, of, count = np.unique(key, return_inverse=True, return_counts=True)
+    heavy = count[of] >= HEAVY
+    size = np.diff(np.r_[0, ends])
+    spread = lambda x: (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    marks = names[count >= HEAVY]
+    none = np.zeros(len(marks), np.int64)
+    cols = [
+        np.r_[key, marks], np.r_[recs[who], none], np.r_[size[who], none].astype(np.int32), np.r_[need, none].astype(np.int32), np.r_[units, none].astype(np.int32), np.r_[unit, none].astype(np.int16),
+        np.r_[np.where(heavy, np.minimum(count[of] * HEAVY_COST, 1 << 30), 1), count[count >= HEAVY]].astype(np.int32),
+    ]
+    part = np.r_[np.where(heavy, parts + spread(recs[who]), spread(key)), spread(marks)]
+    order = np.argsort(part, kind="stable")
+    part, cols = part[order], [c[order] for c in cols]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = [[c[i:j].tobytes() for i, j in zip(cuts, np.r_[cuts[1:], len(part)], strict=True)] for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], ["part", "key", "rec", "n", "need", "units", "unit", "times"])
+
+
 def shared_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
     """rec, n, key, unit, need, units, sharing: index entries that sets share.
 
@@ -298,40 +361,12 @@ def shared_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
     tops = bands()
 
     def emit(batches):
-        import numpy as np
-        import pyarrow as pa
-
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in portions(texts, 4_000_000):
-                h, ends = shingle_sets(texts[a:b])
-                recs = digests(h, ends, 2 * seed)
-                who, key, need, units, unit = index_keys(h, ends, tops)
-                # A copy of a set that this task has sent adds nothing.
-                fresh = np.array([not (r in seen or seen.add(r)) for r in recs.tolist()], bool)
-                if len(seen) > 200_000:
-                    seen.clear()
-                keep = fresh[who] if len(who) else np.zeros(0, bool)
-                who, key, need, units, unit = who[keep], key[keep], need[keep], units[keep], unit[keep]
-                if not len(who):
-                    continue
-                names, of, count = np.unique(key, return_inverse=True, return_counts=True)
-                heavy = count[of] >= HEAVY
-                size = np.diff(np.r_[0, ends])
-                spread = lambda x: (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                marks = names[count >= HEAVY]
-                none = np.zeros(len(marks), np.int64)
-                cols = [
-                    np.r_[key, marks], np.r_[recs[who], none], np.r_[size[who], none].astype(np.int32), np.r_[need, none].astype(np.int32), np.r_[units, none].astype(np.int32), np.r_[unit, none].astype(np.int16),
-                    np.r_[np.where(heavy, np.minimum(count[of] * HEAVY_COST, 1 << 30), 1), count[count >= HEAVY]].astype(np.int32),
-                ]
-                part = np.r_[np.where(heavy, parts + spread(recs[who]), spread(key)), spread(marks)]
-                order = np.argsort(part, kind="stable")
-                part, cols = part[order], [c[order] for c in cols]
-                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                rows = [[c[i:j].tobytes() for i, j in zip(cuts, np.r_[cuts[1:], len(part)], strict=True)] for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], ["part", "key", "rec", "n", "need", "units", "unit", "times"])
+                if made := key_blocks(texts[a:b], parts, tops, seed, seen):
+                    yield made
         released()
 
     def meet(batches):

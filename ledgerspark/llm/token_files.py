@@ -73,7 +73,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
                 at += int(ends[-1])
-        released()
+        released(vocabulary)
 
     # Rows of one id are parted by text hash and place too, so no id makes a task grow.
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("rid"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import fingerprint, language, licences, mixing, nearest, packing, quality, shingle_join, token_files, url_filter
-from ledgerspark.llm.common import new_path
+from ledgerspark.llm.common import new_path, released, worker_cache
 from ledgerspark.llm.encode import Encoder
 from ledgerspark.llm.queries import OP3, OP6, ORACLES, URL_RULES, vocabulary
 
@@ -579,3 +580,42 @@ def test_fullest():
         found = packing.fullest(counts, cap)
         assert all(0 < n <= counts[k] for k, n in found.items())
         assert sum(k * n for k, n in found.items()) == max(s for s in sums if s <= cap)
+
+
+def test_sets_keys_and_grams_hold_little_at_once():
+    """A worker's memory beside its batch, for 4 million characters; results as of each text alone."""
+    rng = random.Random(31)
+    vocabulary_ = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    texts = [None, "", " ", "one two", "é\0 x", *[prose(rng, rng.choice([3, 7, 60, 700]), vocabulary_) for _ in range(3000)]]
+    texts = [*texts, prose(rng, 60_000, vocabulary_), None, texts[9]]
+    assert sum(len(t or "") for t in texts) > 4_000_000
+    tops = shingle_join.bands()
+
+    def most(f, *args):
+        tracemalloc.start()
+        out = f(*args)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak / 1e6
+
+    (h, ends), at_sets = most(shingle_join.shingle_sets, texts)
+    keys, at_keys = most(shingle_join.index_keys, h, ends, tops)
+    found, at_grams = most(quality.grams, texts[:1000])
+    assert at_sets < 60 and at_keys < 60 and at_grams < 45, (at_sets, at_keys, at_grams)
+
+    alone = [shingle_join.shingle_sets([t]) for t in texts]
+    assert np.array_equal(h, np.concatenate([x for x, _ in alone])) and np.array_equal(ends, np.cumsum([e[0] for _, e in alone]))
+    every = sorted((i, *x) for i, (own, e) in enumerate(alone) for x in zip(*(c.tolist() for c in shingle_join.index_keys(own, e, tops)[1:]), strict=True))
+    assert sorted(zip(*(c.tolist() for c in keys), strict=True)) == every
+    for kind, (values, count) in enumerate(found):
+        one = [quality.grams([t])[kind] for t in texts[:1000]]
+        assert np.array_equal(values, np.concatenate([v for v, _ in one])) and np.array_equal(count, np.concatenate([c for _, c in one]))
+
+
+def test_worker_cache_ends_with_other_tasks():
+    cache = worker_cache()
+    cache["a"], cache["b"] = [1], [2]
+    released("a")
+    assert cache["a"] == [1] and "b" not in cache
+    released()
+    assert "a" not in cache and cache is worker_cache()
