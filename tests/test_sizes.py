@@ -1,6 +1,12 @@
 """What only shows in larger tables: wide numbers, many rows at once, bounded batches."""
 
+import time
+
 import duckdb
+import pyarrow as pa
+import pytest
+
+from ledgerspark.functions import codec
 
 
 def test_header_fields_beyond_32_bits(spark, tmp_path):
@@ -12,3 +18,32 @@ def test_header_fields_beyond_32_bits(spark, tmp_path):
     c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["header_decode"](spark, str(tmp_path)).collect())
     assert got == sorted(c.execute(ORACLES["header_decode"]).fetchall())
+
+
+def _keys():
+    import random
+
+    r = random.Random(5)
+    out = [None, b"", b"\0", bytes(25), b"\0" * 5 + b"a", b"\xf0"]
+    for n in (1, 2, 5, 20, 21, 25, 32, 33, 40, 64, 65, 90):
+        out += [r.randbytes(n) for _ in range(20)] + [b"\xf0" + r.randbytes(n - 1), bytes(n), b"\xff" * n, bytes(n - 1) + b"\1", bytes(n // 2) + r.randbytes(n - n // 2)]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("name", ["bech32", "base58check", "address"])
+def test_texts_of_a_batch_are_those_of_each(name):
+    one, many = getattr(codec, f"{name}_text"), getattr(codec, f"{name}_texts")
+    keys = _keys()
+    want = [None if k is None else one(k) for k in keys]
+    assert many(pa.array(keys, pa.binary())).to_pylist() == want
+    assert many(pa.array(keys, pa.binary())[7:200]).to_pylist() == want[7:200]
+    assert many(pa.array([], pa.binary())).to_pylist() == [] and many(pa.array([None], pa.binary())).to_pylist() == [None]
+
+
+def test_a_batch_of_texts_takes_few_microseconds_each():
+    programs = pa.array([i.to_bytes(20, "big") for i in range(100_000)], pa.binary())
+    codec.bech32_texts(programs[:9])
+    began = time.process_time()
+    codec.bech32_texts(programs)
+    assert time.process_time() - began < 2  # one by one: 5 s
