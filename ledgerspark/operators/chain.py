@@ -79,14 +79,17 @@ def resolve(headers: DataFrame, profile: str = "reference") -> DataFrame:
     n = headers.count()
     if n > MAX_HEADERS:
         raise ValueError(f"{n} headers; the replay takes {MAX_HEADERS}, profile 'standard' any number")
-    rows = headers.select("file_no", "offset", F.col("prev_hash").alias("prev"), F.col("block_hash").alias("cur"), "trailing_bytes").orderBy("file_no", "offset").collect()
+    import pyarrow as pa
+
+    # Columns, not rows: a million headers are some 100 MB and few seconds.
+    rows = headers.select("file_no", "offset", F.col("prev_hash").alias("prev"), F.col("block_hash").alias("cur"), "trailing_bytes").orderBy("file_no", "offset").toArrow()
     files: dict[int, tuple[list[dict], bool]] = {}
-    for r in rows:
-        blocks, trailing = files.get(r["file_no"], ([], False))
-        blocks.append({"prev": bytes(r["prev"]), "cur": bytes(r["cur"])})
-        files[r["file_no"]] = (blocks, trailing or bool(r["trailing_bytes"]))
-    out = [(b["cur"], i) for i, b in enumerate(walk([files[k] for k in sorted(files)]))]
-    return headers.sparkSession.createDataFrame(out, "block_hash binary, height long")
+    for file_no, prev, cur, trailing_bytes in zip(*(rows[c].to_pylist() for c in ("file_no", "prev", "cur", "trailing_bytes")), strict=True):
+        blocks, trailing = files.get(file_no, ([], False))
+        blocks.append({"prev": prev, "cur": cur})
+        files[file_no] = (blocks, trailing or bool(trailing_bytes))
+    out = [b["cur"] for b in walk([files[k] for k in sorted(files)])]
+    return headers.sparkSession.createDataFrame(pa.table({"block_hash": pa.array(out, pa.binary()), "height": pa.array(range(len(out)), pa.int64())}))
 
 
 def heights(headers: DataFrame, rounds: int = 40) -> DataFrame:

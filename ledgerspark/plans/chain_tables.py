@@ -12,31 +12,33 @@ from ledgerspark.shared import stored
 from ledgerspark.sources import blk, transactions
 
 log = logging.getLogger("ledgerspark")
-#: Blocks whose (hash, height) may be broadcast: 50 MB or so.
-MOST_BROADCAST = 1_000_000
+#: Blocks whose place and height, two numbers each, may be broadcast: 100 MB or so.
+MOST_BROADCAST = 2_000_000
 
 
 def load(spark: SparkSession, folder: str, profile: str = "reference", mode: str = "FAILFAST") -> dict[str, DataFrame]:
     """blocks, txs, inputs, outputs of the main chain.
 
     Headers are read, without payloads, and resolved first. Payloads are read once
-    more and parsed once: parsed transactions are written to the shared folder, and
-    all tables read that. Payloads meet their heights by broadcast, so raw blocks
-    are not shuffled, unless there are too many blocks for that."""
-    frames = blk.read_blocks(spark, folder, mode)
-    headers = stored(blk.headers(frames).drop("raw"), "headers")
+    more and parsed where they are framed: parsed transactions are written to the
+    shared folder, and all tables read that. They meet their heights by broadcast, so
+    nothing large is shuffled, unless there are too many blocks for that."""
+    permissive = mode.upper() == "PERMISSIVE"
+    headers = stored(blk.headers(blk.read_blocks(spark, folder, mode, most=80)).drop("raw"), "headers")
     main = stored(resolve(headers, profile), "main-chain")
     report(headers, main)
-    small = F.broadcast(main) if main.count() <= MOST_BROADCAST else main
-    raws = blk.headers(frames).select("file_no", "offset", "block_hash", "timestamp", "raw").join(small, "block_hash")
-    if not headers.groupBy("block_hash").count().where("count > 1").isEmpty():
-        # Blocks that are in the files twice: the first copy counts.
-        first = headers.groupBy("block_hash").agg(F.min(F.struct("file_no", "offset")).alias("at")).select("at.file_no", "at.offset")
-        raws = raws.join(F.broadcast(first) if headers.count() <= MOST_BROADCAST else first, ["file_no", "offset"], "left_semi")
-    txs = stored(transactions.transactions(raws, mode.upper() == "PERMISSIVE"), "transactions")
+    # Of blocks that are in the files twice, the first copy counts.
+    others = [c for c in headers.columns if c not in ("file_no", "offset", "block_hash")]
+    first = headers.groupBy("block_hash").agg(F.min(F.struct("file_no", "offset", *others)).alias("at")).select("block_hash", "at.*")
+    blocks = stored(first.join(main, "block_hash"), "main-blocks")
+    places = blocks.select(transactions.place(F.col("file_no").cast("long"), F.col("offset")).alias("place"), "height")
+    found = transactions.read_transactions(spark, folder, mode).join(F.broadcast(places) if main.count() <= MOST_BROADCAST else places, "place").drop("place")
+    if not permissive:
+        found = found.withColumn("parse_error", F.when(F.col("parse_error").isNotNull(), F.raise_error(F.concat(F.lit("a block can't be parsed: "), "parse_error")).cast("string")))
+    txs = stored(found, "transactions")
     count = txs.groupBy("height").agg(F.first("n_tx").alias("n_tx"))
     return {
-        "blocks": headers.dropDuplicates(["block_hash"]).join(small, "block_hash").join(count, "height", "left"),
+        "blocks": blocks.join(count, "height", "left"),
         "txs": txs,
         "inputs": transactions.inputs(txs),
         "outputs": transactions.outputs(txs),

@@ -59,11 +59,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tx = spark.sql(TX.replace("FROM orders", "FROM {orders}"), orders=orders)
     outs = spark.sql(OUTS.replace("FROM lineitem l JOIN tx t", "FROM {lineitem} l JOIN {tx} t"), lineitem=lineitem, tx=tx)
     ins = spark.sql(INS.replace("FROM tx t JOIN outs o", "FROM {tx} t JOIN {outs} o"), tx=tx, outs=outs)
-    # Scripts are made below the window, so that no plan repeats their expression.
-    line = "SELECT *, l_partkey * 100000 + l_suppkey AS addr, CAST((l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 16 AS INT) AS template FROM {lineitem}"
-    scripted = spark.sql(f"SELECT *, unhex({SCRIPT.format(h=SPARK_HASH)}) AS script FROM ({line})", lineitem=lineitem).drop("addr", "template")
-    script = spark.sql(OUTS.replace("FROM lineitem l JOIN tx t", ", l.script FROM {scripted} l JOIN {tx} t"), scripted=scripted, tx=tx)
-    return {"tx": tx, "outs": script, "ins": ins}
+    # Scripts are made above the window: what is shuffled is small, and outs and ins share it.
+    return {"tx": tx, "outs": outs.withColumn("script", F.expr(f"unhex({SCRIPT.format(h=SPARK_HASH)})")), "ins": ins}
+
 
 
 # Block files of the ledger: the same transactions as raw bytes. Every input's script
@@ -74,17 +72,22 @@ COINBASE = "00" * 32 + "ffffffff" + "0151" + "ffffffff"
 WITNESS = "0203aabbcc00"
 
 
-def le_hex(value: str, size: int, spark: bool) -> str:
-    """SQL of ``size`` little-endian bytes of a number, as hex."""
-    if spark:
-        return f"array_join(reverse(regexp_extract_all(lpad(lower(hex({value})), {2 * size}, '0'), '(..)', 1)), '')"
+def le_hex(value: str, size: int) -> str:
+    """DuckDB's SQL of ``size`` little-endian bytes of a number, as hex."""
     return f"array_to_string(list_reverse(regexp_extract_all(lpad(lower(to_hex({value})), {2 * size}, '0'), '..')), '')"
 
 
-def raw_sql(spark: bool) -> dict[str, str]:
-    """SQL of hex: of an input, an output, a whole transaction and without its witness, a block's header."""
-    le = lambda v, n: le_hex(v, n, spark)
-    number = lambda v: f"sha2(CAST({v} AS STRING), 256)" if spark else f"sha256(CAST({v} AS VARCHAR))"
+def le_bytes(value: str, size: int) -> str:
+    """Spark's SQL of the same as binary, by shifts."""
+    v = f"CAST({value} AS BIGINT)"
+    turned = " | ".join(f"(({v} >> {8 * i}) & 255) << {8 * (size - 1 - i)}" for i in range(size))
+    return f"unhex(lpad(hex({turned if size > 1 else v}), {2 * size}, '0'))"
+
+
+def raw_sql() -> dict[str, str]:
+    """DuckDB's SQL of hex: of an input, an output, a whole transaction and without its witness, a block's header."""
+    le = le_hex
+    number = lambda v: f"sha256(CAST({v} AS VARCHAR))"
     cut = f"concat(ins_hex, {le('n_out', 1)}, outs_hex)"
     many = f"concat({le('n_in', 1)}, {cut})"
     header = f"concat('01000000', prev, {number('height + 1000000')}, {le('1231006505 + height * 600', 4)}, 'ffff001d', {le('height', 4)})"
@@ -97,7 +100,7 @@ def raw_sql(spark: bool) -> dict[str, str]:
     }
 
 
-DUCK_RAW = raw_sql(False)
+DUCK_RAW = raw_sql()
 #: outs with scripts, raw transactions and the header chain, for the oracle.
 RAW_WITH = f"""{ORACLE_WITH}, scripted AS (SELECT *, unhex({SCRIPT.format(h=DUCK_HASH)}) AS script FROM outs),
  in_parts AS (SELECT txid, string_agg({DUCK_RAW['input']}, '' ORDER BY vin) AS h, count(*) AS n FROM ins GROUP BY txid),
@@ -111,17 +114,15 @@ RAW_WITH = f"""{ORACLE_WITH}, scripted AS (SELECT *, unhex({SCRIPT.format(h=DUCK
  main AS (SELECT * FROM heads WHERE height < (SELECT max(height) FROM tx))"""
 
 
-def header_rows(n: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """(height, header, header of a sibling, hash) of n blocks, each on the one before; a few dozen bytes a block."""
-    out, prev = [], bytes(32)
-    double = lambda x: hashlib.sha256(hashlib.sha256(x).digest()).digest()
+def header_columns(n: int) -> tuple[list[int], list[bytes]]:
+    """(heights, headers) of n blocks, each on the one before; a few dozen bytes a block."""
+    out, prev, sha = [], bytes(32), hashlib.sha256
+    times, nonce = struct.Struct("<I4sI").pack, bytes.fromhex("ffff001d")
     for height in range(n):
-        root = hashlib.sha256(str(height + 1000000).encode()).digest()
-        make = lambda nonce, root=root, prev=prev, height=height: struct.pack("<I", 1) + prev + root + struct.pack("<I", 1231006505 + height * 600) + bytes.fromhex("ffff001d") + struct.pack("<I", nonce)
-        header = make(height)
-        out.append((height, header, make(height + 5_000_000), double(header)))
-        prev = out[-1][3]
-    return out
+        header = b"\1\0\0\0" + prev + sha(str(height + 1000000).encode()).digest() + times(1231006505 + height * 600, nonce, height)
+        out.append(header)
+        prev = sha(sha(header).digest()).digest()
+    return list(range(n)), out
 
 
 def raw_blocks(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
@@ -129,29 +130,33 @@ def raw_blocks(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
 
     Of each ten blocks the third and fourth change places, and the sixth comes after
     a sibling without children."""
-    sql = raw_sql(True)
-    joined = lambda df, key, of, name: df.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct(key, F.expr(of).alias("x")))).alias("a")).select("txid", F.array_join(F.col("a.x"), "").alias(f"{name}_hex"), F.size("a").alias(f"n_{name}"))
-    ins = joined(t["ins"], "vin", sql["input"], "ins")
-    outs = joined(t["outs"], "vout", sql["output"], "outs")
-    parts = t["tx"].join(ins, "txid", "left").join(outs, "txid", "left").selectExpr(
-        "txid", "height", "tx_idx", f"concat('{COINBASE}', coalesce(ins_hex, '')) AS ins_hex", "1 + coalesce(n_ins, 0) AS n_in", "coalesce(outs_hex, '') AS outs_hex", "coalesce(n_outs, 0) AS n_out"
-    )
-    txs = parts.select("height", "tx_idx", F.expr(sql["whole"]).alias("x"))
+    import pyarrow as pa
+
+    joined = lambda df, key, of, name: df.groupBy("txid").agg(F.expr(f"listagg({of}) WITHIN GROUP (ORDER BY {key})").alias(f"{name}_raw"), F.count("*").alias(f"n_{name}"))
+    ins = joined(t["ins"], "vin", f"concat(unhex(sha2(CAST(prev_txid AS STRING), 256)), {le_bytes('prev_vout', 4)}, X'0151ffffffff')", "ins")
+    outs = joined(t["outs"], "vout", f"concat({le_bytes('value', 8)}, {le_bytes('octet_length(script)', 1)}, script)", "outs")
+    parts = t["tx"].join(ins, "txid", "left").join(outs, "txid", "left").selectExpr("txid", "height", "tx_idx", "1 + coalesce(n_ins, 0) AS n_in", "coalesce(ins_raw, X'') AS ins_raw", "coalesce(n_outs, 0) AS n_out", "coalesce(outs_raw, X'') AS outs_raw")
+    many = f"{le_bytes('n_in', 1)}, X'{COINBASE}', ins_raw, {le_bytes('n_out', 1)}, outs_raw"
+    whole = f"concat(X'01000000', IF(txid % 3 = 0, X'0001', X''), {many}, IF(txid % 3 = 0, unhex(repeat('{WITNESS}', CAST(n_in AS INT))), X''), X'00000000')"
     # A block has fifty transactions at most.
-    bodies = txs.groupBy("height").agg(F.array_sort(F.collect_list(F.struct("tx_idx", "x"))).alias("a")).select("height", F.concat(F.unhex(F.expr(le_hex("size(a)", 1, True))), F.unhex(F.array_join(F.col("a.x"), ""))).alias("body"))
+    bodies = parts.selectExpr("height", "tx_idx", f"{whole} AS x").groupBy("height").agg(F.expr("listagg(x) WITHIN GROUP (ORDER BY tx_idx)").alias("x"), F.count("*").alias("n")).selectExpr("height", f"concat({le_bytes('n', 1)}, x) AS body")
     n = t["tx"].agg(F.max("height")).first()[0] + 1
-    heads = spark.createDataFrame(header_rows(n), "height long, header binary, sibling binary, hash binary")
-    blocks = bodies.join(F.broadcast(heads) if n <= 1_000_000 else heads, "height")
+    heights, headers = header_columns(n)
+    heads = spark.createDataFrame(pa.table({"height": pa.array(heights, pa.int64()), "header": pa.array(headers, pa.binary())}))
     file_no = F.floor(F.col("height") / 100).cast("int").alias("file_no")
     place = F.when(F.col("height") % 10 == 2, F.col("height") + 1).when(F.col("height") % 10 == 3, F.col("height") - 1).otherwise(F.col("height")) * 3
-    main = blocks.select(file_no, place.alias("offset"), F.concat("header", "body").alias("raw"))
-    side = blocks.where("height % 10 = 5").select(file_no, (place - 1).alias("offset"), F.concat(F.col("sibling"), F.unhex(F.lit("01" + "01000000" + "01" + COINBASE + "00" + "00000000"))).alias("raw"))
-    zero = blocks.where("height % 10 = 7").select(file_no, (place - 1).alias("offset"), F.lit(None).cast("binary").alias("raw"))
+    # A task's share of the headers is looked up beside its blocks; neither side is sorted.
+    main = bodies.join(heads.hint("shuffle_hash"), "height").select(file_no, place.alias("offset"), F.concat("header", "body").alias("raw"))
+    known = t["tx"].select("height").distinct()
+    sibling = F.expr(f"concat(substring(header, 1, 76), {le_bytes('height + 5000000', 4)}, X'010100000001{COINBASE}0000000000')")
+    side = known.where("height % 10 = 5").join(heads, "height").select(file_no, (place - 1).alias("offset"), sibling.alias("raw"))
+    zero = known.where("height % 10 = 7").select(file_no, (place - 1).alias("offset"), F.lit(None).cast("binary").alias("raw"))
     return main.unionByName(side).unionByName(zero)
 
 
 def block_files(spark: SparkSession, t: dict[str, DataFrame]) -> str:
     """Folder with the ledger's block files, written to the shared folder."""
     folder = new_path(spark, "blk")
-    write_blocks(raw_blocks(spark, t), folder)
+    files = t["tx"].agg(F.countDistinct(F.floor(F.col("height") / 100))).first()[0]
+    write_blocks(raw_blocks(spark, t), folder, files)
     return folder

@@ -115,10 +115,10 @@ BATCH_BYTES = 16 << 20
 FRAME_COLUMNS = ["file_no", "offset", "raw", "last_in_file", "trailing_bytes", "parse_error"]
 
 
-def framed_batches(batches, number, permissive: bool):
+def framed_batches(batches, number, permissive: bool, most: int | None = None):
     """Arrow batches of ``FRAMES`` rows from batches of (path, content), a few blocks at a time.
 
-    number: path -> file number."""
+    number: path -> file number; most: bytes of a payload that are kept, all if None."""
     import pyarrow as pa
 
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
@@ -128,8 +128,9 @@ def framed_batches(batches, number, permissive: bool):
             path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             rows, size = [], 0
             for frame in frames(content, permissive):
-                rows.append((number(path), *frame))
-                size += len(frame[1] or b"")
+                raw = frame[1] and frame[1][:most]
+                rows.append((number(path), frame[0], raw, *frame[2:]))
+                size += len(raw or b"")
                 if size >= BATCH_BYTES:
                     yield made(rows)
                     rows, size = [], 0
@@ -137,26 +138,34 @@ def framed_batches(batches, number, permissive: bool):
                 yield made(rows)
 
 
-def read_blocks(spark: SparkSession, folder: str, mode: str = "FAILFAST") -> DataFrame:
-    """The same rows through Spark's own file reader, for paths only Spark can open."""
-    permissive = mode.upper() == "PERMISSIVE"
+def numbered_files(spark: SparkSession, folder: str):
+    """(path, content of the files that are read; path -> file number, for executors)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "blk*.dat").load(folder)
     names = [r["path"] for r in files.select("path").collect()]  # one short row per file
-    wanted = dict((name, n) for n, name in consecutive(names))
-    if not wanted:
-        return spark.createDataFrame([], FRAMES)
+    wanted = {name: n for n, name in consecutive(names)}
+    chosen = files if len(wanted) == len(names) else files.where(F.col("path").isin(list(wanted)))
+    return chosen.select("path", "content"), wanted.get
+
+
+def read_blocks(spark: SparkSession, folder: str, mode: str = "FAILFAST", most: int | None = None) -> DataFrame:
+    """The same rows through Spark's own file reader, for paths only Spark can open.
+
+    most: bytes of a payload that are kept, all if None."""
+    permissive = mode.upper() == "PERMISSIVE"
+    files, number = numbered_files(spark, folder)
 
     def run(batches):
-        yield from framed_batches(batches, wanted.get, permissive)
+        yield from framed_batches(batches, number, permissive, most)
 
-    return files.where(F.col("path").isin(list(wanted))).select("path", "content").mapInArrow(run, FRAMES)
+    return files.mapInArrow(run, FRAMES)
 
 
-def write_blocks(blocks: DataFrame, folder: str) -> None:
+def write_blocks(blocks: DataFrame, folder: str, files: int | None = None) -> None:
     """Write rows (file_no, offset, raw) as block files: per file, framed payloads in the order of offsets.
 
-    A file is one task's work, as in reading; ``folder`` is a path or URI that
-    executors can write to. A file appears under its name when it is whole. Null
+    A file is one task's work, as in reading, and a task has some files where there
+    are many; files: how many there are, counted if not given. ``folder`` is a path
+    or URI that executors can write to. A file appears under its name when it is whole. Null
     payloads are zero padding of one byte."""
     uri = folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
 
@@ -174,7 +183,8 @@ def write_blocks(blocks: DataFrame, folder: str) -> None:
                 fs.move(name + ".part", name)
 
         for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                raw = payload.as_py()
                 if number != now:
                     close()
                     now, name = number, f"{base}/{FILE_NAME % number}"
@@ -183,7 +193,9 @@ def write_blocks(blocks: DataFrame, folder: str) -> None:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])
 
-    n = max(1, blocks.agg(F.countDistinct("file_no")).first()[0])
+    if files is None:
+        files = blocks.agg(F.countDistinct("file_no")).first()[0]
+    n = max(1, min(files, 2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = blocks.select("file_no", "offset", "raw").repartition(n, "file_no").sortWithinPartitions("file_no", "offset")
     dealt.mapInArrow(run, "n int").write.format("noop").mode("overwrite").save()
 

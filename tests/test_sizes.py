@@ -1,12 +1,19 @@
 """What only shows in larger tables: wide numbers, many rows at once, bounded batches."""
 
+import os
+import random
 import time
 
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerspark.functions import codec
+from ledgerspark.functions import codec, script
+from ledgerspark.plans.ledger import tables
+from ledgerspark.sources import blk, transactions
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_header_fields_beyond_32_bits(spark, tmp_path):
@@ -21,8 +28,6 @@ def test_header_fields_beyond_32_bits(spark, tmp_path):
 
 
 def _keys():
-    import random
-
     r = random.Random(5)
     out = [None, b"", b"\0", bytes(25), b"\0" * 5 + b"a", b"\xf0"]
     for n in (1, 2, 5, 20, 21, 25, 32, 33, 40, 64, 65, 90):
@@ -47,3 +52,98 @@ def test_a_batch_of_texts_takes_few_microseconds_each():
     began = time.process_time()
     codec.bech32_texts(programs)
     assert time.process_time() - began < 2  # one by one: 5 s
+
+
+def _block(rng, n_tx):
+    body = bytes([n_tx])
+    for i in range(n_tx):
+        ins = [rng.randbytes(36) + bytes([k]) + rng.randbytes(k) + rng.randbytes(4) for k in (rng.randrange(4) for _ in range(rng.randrange(1, 4)))]
+        outs = [rng.randbytes(8) + (bytes([k]) if k < 253 else b"\xfd" + k.to_bytes(2, "little")) + rng.randbytes(k) for k in (rng.choice((0, 25, 300)) for _ in range(rng.randrange(3)))]
+        witness = b"".join(b"\2\1a\0" for _ in ins) if i % 3 == 0 else b""
+        body += b"\1\0\0\0" + (b"\0\1" if witness else b"") + bytes([len(ins)]) + b"".join(ins) + bytes([len(outs)]) + b"".join(outs) + witness + rng.randbytes(4)
+    return rng.randbytes(80) + body
+
+
+def test_parsed_batches_equal_the_plain_parser():
+    rng = random.Random(4)
+    raws = [_block(rng, n) for n in (0, 1, 2, 7, 50)]
+    for _ in range(300):  # cut, longer, or with some byte changed
+        raw = bytearray(_block(rng, rng.randrange(1, 4)))
+        kind = rng.randrange(3)
+        if kind == 0:
+            raw = raw[: rng.randrange(80, len(raw))]
+        elif kind == 1:
+            raw += b"\0"
+        else:
+            raw[rng.randrange(80, len(raw))] = rng.choice((0, 1, 252, 253, 254, 255))
+        raws.append(bytes(raw))
+    want, failed = [], 0
+    for h, raw in enumerate(raws):
+        try:
+            n, txs = transactions.parse_block(raw)
+            want += [{"height": h, "timestamp": 9, "n_tx": n, "tx_idx": i, **t, "parse_error": None} for i, t in enumerate(txs)]
+        except transactions.ParseError as e:
+            failed += 1
+            want.append({k: None for k in transactions._Rows.NAMES} | {"height": h, "timestamp": 9, "ins": None, "outs": None, "parse_error": str(e)})
+            with pytest.raises(transactions.ParseError, match=str(e)):
+                list(transactions.parsed_batches([(h, 9, raw)], False))
+    assert failed > 50
+    got = [r for b in transactions.parsed_batches(((h, 9, raw) for h, raw in enumerate(raws)), True) for r in b.to_pylist()]
+    assert got == want
+
+
+def test_parsing_calls_nothing_for_each_entry(monkeypatch):
+    raw = _block(random.Random(1), 200)
+    calls = []
+    monkeypatch.setattr(transactions, "parse_transaction", lambda c: calls.append(c))
+    batches = list(transactions.parsed_batches([(0, 0, raw)] * 300, True))
+    # No call for each field or transaction, and a batch holds a few MB of payloads.
+    assert not calls and sum(b.num_rows for b in batches) == 60_000 and len(batches) >= 300 * len(raw) // (transactions.BATCH_BYTES + len(raw)) > 1
+
+
+def test_headers_are_read_without_payloads(spark, tmp_path):
+    raws = [bytes([i]) * 5000 for i in range(1, 6)]
+    blk.write_blocks(spark.createDataFrame([(i, i, r) for i, r in enumerate(raws)], "file_no int, offset long, raw binary"), str(tmp_path / "b"), 5)
+    assert sorted(len(r["raw"]) for r in blk.read_blocks(spark, str(tmp_path / "b"), most=80).collect()) == [80] * 5
+
+
+def test_files_share_tasks(spark, tmp_path):
+    rows = spark.range(120).selectExpr("CAST(id AS INT) AS file_no", "0L AS offset", "CAST(repeat('x', 80) AS BINARY) AS raw")
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    blk.write_blocks(rows, str(tmp_path / "b"), 120)
+    tasks = [before.getStageInfo(s).numTasks for j in before.getJobIdsForGroup("files") for s in before.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert blk.read_blocks(spark, str(tmp_path / "b")).count() == 120 and max(tasks) <= 8
+
+
+def _scripts():
+    n20, n32, rng = "11" * 20, "22" * 32, random.Random(8)
+    keys = [b + n32 for b in ("02", "03", "05", "00")]
+    out = [f"a914{n20}876161", f"a914{n20}870051", f"a914{n20}8761ac", f"a914{n20}888761", f"0014{n20}", f"0020{n32}", f"5120{n32}", "6a", "6a00", "6a51", "6a0101", "6a02aa", "6aac51", "00", "4f", "50", "51", "60", "61"]
+    out += [f"{head}{n:02x}{data * n}{tail}" for head in ("", "00", "4f", "51", "60", "50", "61", "0101") for n, data in ((1, "00"), (1, "80"), (1, "08"), (2, "00"), (2, "01"), (75, "00"), (75, "11"), (76, "11")) for tail in ("", "ac", "00")]
+    out += [f"{head}{a}{tail}" for head in ("51", "") for a in ("048000000" + "1", "0480000000", "0400000080") for tail in ("", "61")]
+    for n in (1, 2, 3, 4):
+        for _ in range(25):
+            out.append(f"{0x50 + rng.randrange(6):02x}" + "".join("21" + rng.choice(keys[:3]) for _ in range(n)) + f"{0x50 + rng.choice((n, n, n, n - 1, n + 1)):02x}" + rng.choice(("ae", "ae", "af", "ac")))
+        out.append("51" + f"21{keys[0]}" * n + f"{0x50 + n:02x}ae61")
+    for _ in range(300):
+        s = bytearray.fromhex(rng.choice(out))
+        s[rng.randrange(len(s))] = rng.choice((0, 1, 0x20, 0x21, 0x51, 0x61, 0x6A, 0x80, 0x87, 0xAC, 0xAE))
+        out.append(s.hex())
+    return out
+
+
+@pytest.mark.parametrize("profile", ["reference", "standard"])
+def test_decided_scripts_are_as_the_rules_have_it(spark, profile):
+    rows = [(bytes.fromhex(s), h, t) for s in _scripts() for h in (388380, 388381) for t in (1, 1333238400, 1503539857)]
+    plain = lambda v: bytes(v) if isinstance(v, bytearray) else [bytes(x) for x in v] if isinstance(v, list) else v
+    for r in script.with_class(spark.createDataFrame(rows, "script binary, height long, timestamp long"), profile).collect():
+        assert {k: plain(v) for k, v in r["c"].asDict().items()} == script.classify(bytes(r["script"]), r["height"], r["timestamp"], profile), bytes(r["script"]).hex()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_ledgers_scripts_are_decided_without_python(spark):
+    outs = tables(spark, SF)["outs"]
+    rule, _ = script.fast(F.col("script"), F.hex("script"), F.col("timestamp"))
+    assert outs.where(rule.isNull()).count() == 0
