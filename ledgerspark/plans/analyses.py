@@ -18,7 +18,7 @@ from ledgerspark.functions.codec import address, coin_text, hash160, hash_pretty
 from ledgerspark.functions.script import ADDRESS_KINDS, with_class
 from ledgerspark.operators import utxo
 from ledgerspark.operators.cluster import components
-from ledgerspark.shared import stored
+from ledgerspark.shared import parts, stored
 
 
 @dataclass
@@ -187,10 +187,11 @@ def donations(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 def live_keys(inputs: DataFrame, outputs: DataFrame, key: str = "addr") -> DataFrame:
     """One row: n_keys, keys held at the end: with a balance, or last seen credited."""
     items = outputs.withColumn("_k", F.col(key))
-    seen = utxo.events(inputs, items, ["_k", "value"])
+    n = parts(inputs, outputs)
+    seen = utxo.events(inputs, items, ["_k", "value"]).select("txid", "vout", "height", "tx_idx", "phase", "n", "_k", "value").repartition(n, "txid", "vout")
     # A spend's key and value are those of the output it spends.
-    named = seen.groupBy("txid", "vout").agg(F.max("_k").alias("k"), F.max("value").alias("v"))
-    moves = seen.select("txid", "vout", "height", "tx_idx", "phase", "n").join(named, ["txid", "vout"])
-    moves = moves.withColumn("delta", F.when(F.col("phase") == 1, F.col("v")).otherwise(-F.col("v")))
+    same = Window.partitionBy("txid", "vout")
+    moves = seen.select("height", "tx_idx", "phase", "n", F.max("_k").over(same).alias("k"), F.max("value").over(same).alias("v"))
+    moves = moves.withColumn("delta", F.when(F.col("phase") == 1, F.col("v")).otherwise(-F.col("v"))).repartition(n, "k")
     ends = moves.groupBy("k").agg(F.sum("delta").alias("sum"), F.max_by("phase", F.struct("height", "tx_idx", "phase", "n")).alias("last"))
     return ends.agg(F.count_if((F.col("sum") != 0) | (F.col("last") == 1)).alias("n_keys"))

@@ -53,6 +53,21 @@ def dropped(*tables: DataFrame) -> None:
             df._stored_path = None
 
 
+#: Bytes of source files, compressed, that one part of a shuffle should stem from, about.
+PART_BYTES = 4 << 20
+
+
+def parts(*tables: DataFrame) -> int:
+    """Parts of a shuffle of the tables: one for each core, or more so that a part stays small however large their files are."""
+    leaves = {}
+    for df in tables:
+        found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        for i in range(found.size()):
+            leaf = found.apply(i)
+            leaves[leaf.canonicalized().semanticHash()] = int(str(leaf.stats().sizeInBytes()))
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, min(sum(leaves.values()) // PART_BYTES, 100_000))
+
+
 def fresh(name: str, *tables: DataFrame) -> str:
     """A column name like ``name`` that none of the tables has, in any case."""
     taken = {c.lower() for df in tables for c in df.columns}

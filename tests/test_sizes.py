@@ -170,3 +170,21 @@ def test_tallies_take_part_of_a_microsecond_an_operation():
     began = time.process_time()
     assert sum(opcodes.tally(scripts, heights).values()) == 1_000_000
     assert time.process_time() - began < 0.5  # decoded one by one: over 1 s
+
+
+def test_parts_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(200_000).selectExpr("id", "rand() AS x").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert shared.parts(df) == 4
+    monkeypatch.setattr(shared, "PART_BYTES", 100_000)
+    assert 15 < shared.parts(df, df.where("id > 5")) < 40
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_live_keys_shuffle_events_once_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_BYTES", 20_000)
+    t = tables(spark, SF)
+    plan = analyses.live_keys(t["ins"], t["outs"])._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan") :]
+    found = [int(x) for x in re.findall(r"Exchange hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", physical)]
+    assert len(found) == 2 and min(found) > 4
