@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.analysis == "balances":
         write_lines(analyses.balances(t["inputs"], t["outputs"], args.profile), args.output)
     elif args.analysis == "addresses":
-        write_lines(analyses.addresses(t["outputs"], args.profile), args.output, "address", order=["height", "tx_idx", "vout", "pos"])
+        write_lines(analyses.addresses(t["outputs"], args.profile), args.output, "address")  # in chain order
     elif args.analysis == "tx-hashes":
         write_lines(analyses.tx_hash_lines(t["txs"]), args.output, "line", order=["height", "ord"])
     elif args.analysis == "data-outputs":

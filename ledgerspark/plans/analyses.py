@@ -71,8 +71,8 @@ def address_key(kind: str, c: str = "c", hashed: bool = True) -> Column:
 
 def cluster_edges(per_tx: DataFrame, by: str = "by", key: str = "key") -> DataFrame:
     """Star edges (a, b) of the distinct keys each transaction spends from, two or more."""
-    least = per_tx.groupBy(by).agg(F.min(key).alias("a"))
-    return per_tx.join(least, by).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    least = F.min(key).over(Window.partitionBy(by))
+    return per_tx.where(F.col(by).isNotNull()).select(least.alias("a"), F.col(key).alias("b")).where("a <> b").distinct()
 
 
 def input_keys(inputs: DataFrame, outputs: DataFrame, profile: str = "reference") -> DataFrame:
@@ -150,11 +150,14 @@ def output_addresses(outputs: DataFrame, profile: str = "reference") -> DataFram
 
 
 def addresses(outputs: DataFrame, profile: str = "reference") -> DataFrame:
-    """height, tx_idx, vout, pos, address: every address of every output, in chain order."""
-    found = output_addresses(outputs, profile)
+    """height, tx_idx, vout, pos, address: every address of every output, in chain order.
+
+    Outputs are put in order before their addresses are made, which each keep their
+    place: sampling for the order would make all of them once more."""
+    found = output_addresses(outputs.select("height", "tx_idx", "vout", "script", "timestamp").orderBy("height", "tx_idx", "vout"), profile)
     body = F.coalesce(hash160(F.when(F.col("is_key"), F.col("payload"))), F.col("payload"))
     version = F.unhex(F.lpad(F.hex("version"), 2, "0"))
-    return found.select("height", "tx_idx", "vout", "pos", address(F.concat(version, body)).alias("address")).orderBy("height", "tx_idx", "vout", "pos")
+    return found.select("height", "tx_idx", "vout", "pos", address(F.concat(version, body)).alias("address"))
 
 
 def tx_hash_lines(txs: DataFrame, above: int = 480000, each: int = 1000) -> DataFrame:

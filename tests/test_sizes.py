@@ -188,3 +188,20 @@ def test_live_keys_shuffle_events_once_in_many_parts(spark, monkeypatch):
     physical = plan[plan.index("== Physical Plan") :]
     found = [int(x) for x in re.findall(r"Exchange hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", physical)]
     assert len(found) == 2 and min(found) > 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_addresses_are_made_after_they_are_in_order(spark):
+    found = analyses.addresses(tables(spark, SF)["outs"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Sampling for the order runs what is below the exchange once more: no Python there.
+    assert plan.count("rangepartitioning") == 1 and "ArrowEvalPython" not in plan[plan.index("rangepartitioning") :]
+    places = [(r["height"], r["tx_idx"], r["vout"], r["pos"]) for r in found.collect()]
+    assert places == sorted(places) and len(set(places)) == len(places) > 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_clusters_read_what_was_spent_once(spark):
+    t = tables(spark, SF)
+    plan = analyses.cluster_edges(analyses.input_keys(t["ins"], t["outs"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
