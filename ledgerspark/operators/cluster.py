@@ -28,7 +28,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         moved = near.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+    moved = moved.where("u > v")
+    # An edge becomes one by the large step; what is twice goes with the small step, which follows.
+    return moved if large else moved.distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

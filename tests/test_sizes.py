@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import shared
 from ledgerspark.functions import codec, opcodes, script
+from ledgerspark.operators import cluster
 from ledgerspark.plans import analyses
 from ledgerspark.plans.ledger import tables
 from ledgerspark.sources import blk, transactions
@@ -205,3 +206,11 @@ def test_clusters_read_what_was_spent_once(spark):
     t = tables(spark, SF)
     plan = analyses.cluster_edges(analyses.input_keys(t["ins"], t["outs"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_large_step_makes_edges_unique_only_after_the_small_one(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (5, 2), (5, 3)], "u long, v long")
+    said = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert said(cluster._star(edges, True)) == 1 < said(cluster._star(edges, False))
+    made = cluster._star(cluster._star(edges, True), False).collect()
+    assert len(made) == len(set(made)) and all(r["u"] > r["v"] for r in made)
